@@ -1,3 +1,67 @@
-STAGES = []
+"""The corpus pipeline: language, near-duplicates, benchmark passages, secrets, mixture.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows to the shared folder
+and reads them again, so a lost executor never costs more than a stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pathloom.llm import decontam, langid, mixing, secrets, simhash
+from pathloom.llm.shared import new_path, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text whose best language is further away than this score is rejected, as are texts without letters.
+LEAST_LANGUAGE_SCORE = 0.05
+#: Relative target weights; a source that is not named gets REST.
+WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
+REST = 1.0
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose language is identified; profiles come from all labelled rows."""
+    found = langid.identify(docs.select(*COLUMNS), langid.learn(docs), keep=tuple(COLUMNS))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that with the smallest id, of each group of near-duplicates."""
+    kept = simhash.near_duplicates(docs).where("is_kept").select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash")
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a window of a benchmark item."""
+    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(COLUMNS))
+    return found.where(F.size("items") == 0).select(*COLUMNS)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret by a mark; all documents stay."""
+    ledger = written(secrets.scan(docs), "ledger")
+    found = secrets.findings(docs, ledger, ["doc_id"]).where(F.size("found") > 0).select("doc_id", "found").dropDuplicates(["doc_id"]).hint("shuffle_hash")
+    text = F.when(F.col("found").isNotNull(), secrets.redacted(F.col("text"), F.col("found"))).otherwise(F.col("text"))
+    joined = docs.join(found, "doc_id", "left")
+    return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("found").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replicate by source to the target weights and shuffle."""
+    return mixing.mix(docs.select(*COLUMNS), WEIGHTS, rest=REST)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secret_scan", secret_scan), ("mixture", mixture)]
+
+#: Word profiles and XXH64 fingerprints have no SQL form; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = new_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
