@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, secrets, simhash
+from . import decontam, grading, langid, mixing, rules, secrets, simhash, suffixes
 from .shared import written
 
 
@@ -32,6 +32,21 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, rest=1.0)
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op7_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", grading.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    return grading.grade(table(spark, sf_dir, "documents"), labels).withColumnRenamed("id", "doc_id")
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
@@ -50,7 +65,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.shown(base), 256).alias("base_sha256"), secrets.shown(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op4_mixing, op8_decontam, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op4_mixing, op5_suffixes, op6_rules, op7_grading, op8_decontam, op10_secrets)}
 
 _WORDS8 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
