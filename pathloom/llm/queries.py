@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, grading, langid, mixing, rules, secrets, simhash, suffixes
+from . import decontam, grading, langid, licenses, mixing, rules, secrets, simhash, suffixes, warc
 from .shared import written
 
 
@@ -24,6 +24,12 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), langid.held_out("id").alias("held_out"), "lang_pred", "score")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    shown = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"], m["stop"], F.round(m["coverage"], 4)))
+    return out.select(F.col("id").alias("doc_id"), F.size("matches").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"), F.array_join(shown, ",").alias("spans"))
+
+
 #: Relative weights of the production mixture; sources that are not named have weight 1.
 WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
 
@@ -53,6 +59,12 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    number = lambda c: F.nullif(F.col(c), F.lit("")).cast("long")
+    return out.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
@@ -65,7 +77,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.shown(base), 256).alias("base_sha256"), secrets.shown(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op4_mixing, op5_suffixes, op6_rules, op7_grading, op8_decontam, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_langid, op3_licenses, op4_mixing, op5_suffixes, op6_rules, op7_grading, op8_decontam, op9_warc, op10_secrets)}
 
 _WORDS8 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -100,5 +112,13 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+g AS (SELECT payload_digest, max(page_id) AS target FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN target IS NOT NULL AND target <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN target <> page_id THEN target END AS refers_to
+FROM d LEFT JOIN g USING (payload_digest)
 """,
 }
