@@ -17,8 +17,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"), F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     now = written(now.where(now[2]).select("v", "u").distinct(), "edges")
-    mark = None
-    while True:
+    size = lambda t: t.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")).first()
+    n = size(now)
+    while n.n:
         # large star: every larger neighbour of a node moves to the node's smallest neighbour
         both = now.select(F.col("v").alias("n"), F.col("u").alias("o")).unionAll(now.select(F.col("u").alias("n"), F.col("v").alias("o")))
         least = both.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("n", "m").alias("m"))
@@ -26,11 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours move to the smallest of them
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*").where("v != u").distinct()
-        then = written(small, "edges")
+        then = written(small, "edges", n.n)
         discard(now)
         now = then
-        n = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")).first()
-        if (n.n, n.h) == mark:
+        before, n = n, size(now)
+        if before == n:
             break
-        mark = (n.n, n.h)
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionAll(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())

@@ -23,11 +23,16 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/pathloom/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts the lineage, and executors may be lost after it."""
+def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder, read again: cuts the lineage, and executors may be lost after it.
+
+    rows: about how many rows there will be, where that is known; small tables then go to few files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // 250_000)
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
