@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import functools
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,69 +12,78 @@ from pyspark.sql import functions as F
 
 from .shared import by_batch
 
-ORDERS = (1, 2, 3)
 #: N-grams in a profile, and the out-of-place distance of an n-gram that a profile lacks.
 PROFILE = 400
 #: Profiles go to every task; more languages than this are refused.
 MOST_LANGUAGES = 1000
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
-_CACHED = 100_000
+#: Code points are letters up to here.
+_CODES = 0x33480
 
 
-def words_of(text: str) -> Counter:
-    """Lower-cased words of letters and how often each occurs. Takes a long text piece by piece."""
-    found: Counter = Counter()
-    if len(text) <= 1 << 20:
-        found.update(_WORD.findall(text.lower()))
-    else:
-        for m in _WORD.finditer(text):
-            found[m[0].lower()] += 1
-    return found
+@functools.cache
+def _letters() -> np.ndarray:
+    """For each code point its lower case if it is a letter, else 0."""
+    return np.array([(ord(low) if len(low := chr(c).lower()) == 1 else c) if chr(c).isalpha() else 0 for c in range(_CODES)], np.uint64)
 
 
-def grams(word: str) -> list[str]:
-    """The word's n-grams, with a blank on either side, repeats included."""
-    w = f" {word} "
-    return [g for n in ORDERS for i in range(len(w) - n + 1) if (g := w[i : i + n]) != " "]
+def keys_of(text: str) -> np.ndarray:
+    """The n-grams of 1 to 3 characters of the lower-cased words of letters, each word with a blank on either side.
+
+    A key has 21 bits for a character, the first highest, the blank is 0; keys of shorter n-grams are marked by bit 63 and 62.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where(codes < _CODES, _letters()[np.minimum(codes, _CODES - 1)], np.uint64(0))
+    c = np.concatenate([[np.uint64(0)], c, [np.uint64(0)]])
+    c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]  # blanks in a row are one
+    if len(c) < 3:
+        return np.zeros(0, np.uint64)
+    two = (c[:-1] << np.uint64(21)) | c[1:]
+    three = ((two[:-1] << np.uint64(21)) | c[2:])[c[1:-1] != 0]
+    return np.concatenate([c[c != 0] | np.uint64(1 << 63 | 1 << 62), two | np.uint64(1 << 63), three])
 
 
 def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> DataFrame:
-    """(lang, gram, rank): the `size` most frequent n-grams of each language, rank 0 first, ties by n-gram.
+    """(lang, gram, rank): the `size` most frequent n-grams (keys as of keys_of) of each language, rank 0 first, ties by key.
 
     Counts cover every row with a text and a language. Counts are summed in each task before the shuffle.
     """
     rows = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        seen: dict[str, Counter] = defaultdict(Counter)
-        held = 0
+        parts: dict[str, list[np.ndarray]] = defaultdict(list)
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def add(lang):
+            keys, n = np.unique(np.concatenate(parts.pop(lang)), return_counts=True)
+            if lang in sums:
+                both, inverse = np.unique(np.concatenate([sums[lang][0], keys]), return_inverse=True)
+                keys, n = both, np.bincount(inverse, weights=np.concatenate([sums[lang][1], n])).astype(np.int64)
+            sums[lang] = keys, n
 
         def counted():
-            langs, gs, ns = [], [], []
-            for lang, words in seen.items():
-                total: Counter = Counter()
-                for w, n in words.items():
-                    for g in grams(w):
-                        total[g] += n
-                langs += [lang] * len(total)
-                gs += total.keys()
-                ns += total.values()
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(gs, pa.string()), pa.array(ns, pa.int64())], ["lang", "gram", "n"])
+            for lang, (keys, n) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+            sums.clear()
 
+        sizes: Counter = Counter()
         for b in batches:
             for lang, text in zip(b.column(0), b.column(1), strict=True):
-                c = words_of(text.as_py())
-                seen[lang.as_py()].update(c)
-                held += len(c)
-            if held > 500_000:
-                yield counted()
-                seen.clear()
-                held = 0
-        if held:
-            yield counted()
-
-    counts = rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                lang = lang.as_py()
+                keys = keys_of(text.as_py())
+                parts[lang].append(keys)
+                sizes[lang] += len(keys)
+                if sizes.total() > 4_000_000:
+                    for x in list(parts):
+                        add(x)
+                    sizes.clear()
+            if sum(len(x[0]) for x in sums.values()) > 2_000_000:
+                yield from counted()
+        for x in list(parts):
+            add(x)
+        yield from counted()
+
+    counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
     return counts.withColumn("rank", rank).where(F.col("rank") < size).select("lang", "gram", "rank")
 
@@ -82,49 +91,33 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
 class Profiles:
     """The learned profiles in a task: out-of-place distances of a text to each language."""
 
-    def __init__(self, rows: list[tuple[str, str, int]], size: int = PROFILE):
+    def __init__(self, rows: list[tuple[str, int, int]], size: int = PROFILE):
         self.langs = sorted({r[0] for r in rows})
         self.size = size
         at = {lang: i for i, lang in enumerate(self.langs)}
-        self.ids = {g: i for i, g in enumerate(sorted({r[1] for r in rows}))}
-        self.known = len(self.ids)
-        self.ranks = np.full((self.known, len(self.langs)), -1, np.int32)
-        for lang, g, rank in rows:
-            self.ranks[self.ids[g], at[lang]] = rank
-        self.of_word: dict[str, np.ndarray] = {}
-
-    def _grams(self, word: str) -> np.ndarray:
-        found = self.of_word.get(word)
-        if found is None:
-            ids = self.ids
-            found = np.array([ids.setdefault(g, len(ids)) for g in grams(word)], np.int64)
-            self.of_word[word] = found
-        return found
+        self.keys, inverse = np.unique(np.array([r[1] for r in rows], np.int64).view(np.uint64), return_inverse=True)
+        self.ranks = np.full((len(self.keys), len(self.langs)), -1, np.int32)
+        for (lang, _, rank), k in zip(rows, inverse, strict=True):
+            self.ranks[k, at[lang]] = rank
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): score is 1 minus the mean out-of-place distance over the profile's size; ties go to the first language.
 
-        `und` and 0 without a letter or without any profile.
+        An n-gram's rank in the text is the number of more frequent ones. `und` and 0 without a letter or without any profile.
         """
-        if len(self.of_word) > _CACHED:
-            self.of_word.clear()
-            self.ids = dict(list(self.ids.items())[: self.known])
-        words = words_of(text or "")
-        if not words or not self.langs:
+        keys = keys_of(text or "")
+        if not len(keys) or not self.langs:
             return UNKNOWN, 0.0
-        each = [self._grams(w) for w in words]
-        weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) for x in each])
-        ids, inverse = np.unique(np.concatenate(each), return_inverse=True)
-        n = np.bincount(inverse, weights=weight).astype(np.int64)
-        ordered = np.sort(n)
-        rank = len(n) - np.searchsorted(ordered, n, side="right")  # n-grams that are more frequent: ties share a rank
+        keys, n = np.unique(keys, return_counts=True)
+        rank = len(n) - np.searchsorted(np.sort(n), n, side="right")
         top = rank < self.size
-        ids, rank = ids[top], rank[top]
-        inside = ids < self.known
-        mine = self.ranks[ids[inside]]
+        keys, rank = keys[top], rank[top]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        inside = self.keys[at] == keys
+        mine = self.ranks[at[inside]]
         out = np.where(mine < 0, self.size, np.abs(mine - rank[inside, None])).sum(0) + self.size * int((~inside).sum())
         best = int(np.argmin(out))
-        return self.langs[best], max(0.0, 1 - float(out[best]) / (self.size * len(ids)))
+        return self.langs[best], max(0.0, 1 - float(out[best]) / (self.size * len(keys)))
 
 
 def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE, keep: tuple[str, ...] = ()) -> DataFrame:
