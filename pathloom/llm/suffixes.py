@@ -29,9 +29,9 @@ from .shared import by_batch, discard, utf8, written
 MIN = 100
 K = 24
 #: Contexts of one anchor that a task takes in one suffix array; larger groups are settled by digests, exactly.
-GROUP_ROWS = 3000
+GROUP_ROWS = 20_000
 #: An anchor with so many different contexts in one task goes there without coming to the third step at all.
-TASK_ROWS = 500
+TASK_ROWS = 5000
 _HELD = 48 << 20
 _PART = 1 << 16
 _LAST = (1 << 63) - 1
@@ -219,8 +219,11 @@ def maximal_repeats(contexts: list[tuple[bytes, int]]) -> Iterator[tuple[int, in
                 yield y, MIN - x, [order[m] for m in inside[first : last + 1]]
 
 
-def _settle(rows: list[tuple]) -> Iterator[tuple]:
-    """(id, start, stop, first_id, first_start) for the occurrences that are not the first, of one anchor's rows (id, start, anchor, context)."""
+def _settle(rows: list[tuple], merged: bool) -> Iterator[tuple]:
+    """(id, start, stop, first_id, first_start) for the occurrences that are not the first, of one anchor's rows (id, start, anchor, context).
+
+    merged: only the bytes that they cover, one row for a context, without first places: all its strings hold the anchor, so what they cover is one span.
+    """
     earliest: dict[tuple[bytes, int], tuple[int, int]] = {}
     for i, start, anchor, context in rows:
         at, key = (i, start), (context, anchor)
@@ -233,51 +236,64 @@ def _settle(rows: list[tuple]) -> Iterator[tuple]:
         return
     keys = list(earliest)
     places = [(earliest[k][0], earliest[k][1] + k[1]) for k in keys]
+    reach: dict[int, tuple[int, int]] = {}
     for left, right, members in maximal_repeats(keys):
         i, a = first = min(places[m] for m in members)
         for m in members:
             if places[m] != first:
-                yield places[m][0], places[m][1] - left, places[m][1] + right, i, a - left
+                if merged:
+                    x, y = reach.get(m, (0, 0))
+                    reach[m] = max(x, left), max(y, right)
+                else:
+                    yield places[m][0], places[m][1] - left, places[m][1] + right, i, a - left
+    for m, (left, right) in reach.items():
+        yield places[m][0], places[m][1] - left, places[m][1] + right, None, None
 
 
 _SPAN = pa.schema([("id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("first_id", pa.int64()), ("first_start", pa.int32()), ("h", pa.int64()), ("anchor", pa.int16()), ("context", pa.binary())])
 _SPAN_DDL = "id long, start int, stop int, first_id long, first_start int, h long, anchor short, context binary"
 
 
-def _by_suffix_array(contexts: DataFrame) -> DataFrame:
+def _by_suffix_array(contexts: DataFrame, merged: bool) -> DataFrame:
     """Spans; and, with their contexts, the rows of anchors with over GROUP_ROWS rows, which are left to digests."""
     dealt = contexts.select("h", "id", "start", "anchor", "context").repartition("h").sortWithinPartitions("h")
 
     def run(batches):
-        now, rows, large, out = None, [], False, []
+        now, rows, large = None, [], False
 
         def left():
             for i, start, anchor, context in rows:
-                out.append((i, start, start + len(context), None, None, now, anchor, context))
+                yield i, start, start + len(context), None, None, now, anchor, context
             rows.clear()
 
-        for b in batches:
-            for h, i, start, anchor, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if h != now:
-                    if large:
-                        left()
-                    else:
-                        out += ((*s, None, None, None) for s in _settle(rows))
-                    now, large = h, False
-                    rows.clear()
-                rows.append((i, start, anchor, context))
-                if len(rows) > GROUP_ROWS:
-                    large = True
-                    left()
-                while len(out) >= 10_000:
-                    yield _batch(out[:10_000], _SPAN)
-                    del out[:10_000]
-        if large:
-            left()
-        else:
-            out += ((*s, None, None, None) for s in _settle(rows))
-        for k in range(0, len(out), 10_000):
-            yield _batch(out[k : k + 10_000], _SPAN)
+        def ended():
+            if large:
+                yield from left()
+            else:
+                yield from ((*s, None, None, None) for s in _settle(rows, merged))
+                rows.clear()
+
+        def found():
+            nonlocal now, large
+            for b in batches:
+                for h, i, start, anchor, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if h != now:
+                        yield from ended()
+                        now, large = h, False
+                    rows.append((i, start, anchor, context))
+                    if len(rows) > GROUP_ROWS:
+                        large = True
+                        yield from left()
+            yield from ended()
+
+        out = []
+        for row in found():
+            out.append(row)
+            if len(out) == 10_000:
+                yield _batch(out, _SPAN)
+                out = []
+        if out:
+            yield _batch(out, _SPAN)
 
     return dealt.mapInArrow(run, _SPAN_DDL)
 
@@ -311,13 +327,13 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", merged: bool = False) -> DataFrame:
     """(id, start, stop, first_id, first_start): occurrences of repeated strings of MIN bytes or more, but for their first ones.
 
     The bytes start to stop of id's text also stand at first_start of first_id, which is earlier: a smaller id, or the
     same and an earlier start. Every string of MIN bytes that also starts earlier lies in one of the rows. Ids are integers;
     null ones are taken as the largest. Rows with one id count as the same document, seen again. Texts that are null
-    or shorter than MIN give no rows.
+    or shorter than MIN give no rows. merged: what the rows cover is the same, in fewer rows; their first places may be null.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -329,7 +345,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     _release(spark)
     held = cut.where(F.col("context").isNotNull())
     hot = held.where("hot").select("h").distinct()
-    settled = written(_by_suffix_array(held.join(hot, "h", "left_anti")), "spans")
+    settled = written(_by_suffix_array(held.join(hot, "h", "left_anti"), merged), "spans")
     _release(spark)
     columns = ["id", "start", "stop", "first_id", "first_start"]
     rest = held.join(hot, "h", "left_semi").select("id", "start", "context").unionAll(settled.where(F.col("context").isNotNull()).select("id", "start", "context"))
@@ -342,7 +358,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null text is empty. Repeated rows stay, and since they are one document they keep the same bytes. An empty table gives an empty one.
     """
-    spans = written(repeats(docs, id_col, text_col).select("id", "start", "stop"), "removed")
+    spans = written(repeats(docs, id_col, text_col, merged=True).select("id", "start", "stop"), "removed")
     _release(docs.sparkSession)
     lists = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("id", "key").hint("shuffle_hash")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("key"), F.col(text_col).cast("string").alias("text"))
