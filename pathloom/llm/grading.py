@@ -20,11 +20,24 @@ BUCKETS = 1 << 18
 #: Rows by which the model is fitted: at most so many of each grade, the first by a hash of the id.
 ROWS_A_GRADE = 4000
 #: Share of top-graded rows whose tail probability may lie under the selection's threshold.
-LOST_GOOD = 0.005
+LOST_GOOD = 0.01
 _TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^\x20\x09-\x0DA-Za-z0-9\x80-\xff]+")
 _CACHED = 200_000
 
 
+def shapes(text: bytes) -> list[bytes]:
+    """Names of the text's shape: coarse shares of distinct and upper-case words, of marks and of repeated lines."""
+    words = text.split()
+    n = len(words)
+    if not n:
+        return [b"shape:none"]
+    byte = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    marks = (byte[0x21:0x30].sum() + byte[0x3A:0x41].sum() + byte[0x5B:0x61].sum() + byte[0x7B:0x7F].sum()) / n
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    out = [b"shape:marks%d" % min(8, int(4 * marks)), b"shape:lines%d" % int(4 * (1 - len(set(lines)) / len(lines))), b"shape:upper%d" % int(6 * sum(len(w) > 2 and w.isupper() for w in words) / n)]
+    return out + [b"shape:distinct%d" % int(8 * min(1, len(set(words)) / n**0.9))] * (n >= 20)
+
+
 class Hasher:
     """Distinct buckets of a text's tokens; remembers the buckets of frequent tokens."""
 
@@ -50,6 +63,7 @@ class Hasher:
             if found is None:
                 found = of[t] = self._bucket(t)
             out.update(found)
+        out.update(zlib.crc32(s) % self.buckets for s in shapes(text or b""))
         return np.fromiter(sorted(out), np.int32, len(out))
 
 
@@ -68,7 +82,7 @@ class Ordinal:
         return _sigmoid(scores[:, None] - self.cuts[None, :])
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS, rounds: int = 200, rate: float = 0.05, l1: float = 4e-4, l2: float = 1e-5) -> Ordinal:
+    def fit(cls, rows: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS, rounds: int = 400, rate: float = 0.1, l1: float = 5e-4, l2: float = 1e-5) -> Ordinal:
         """Adam steps on the mean negative log likelihood with a soft threshold for l1; grades are weighted alike."""
         grades = sorted({int(v) for v in y})
         k = len(grades)
