@@ -1,49 +1,15 @@
-"""What the corpus operators share: the shared folder, written tables, Arrow batches."""
+"""What the corpus operators share: written tables and Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from ..sources.scratch import discard, new_path, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session's spark.checkpoint.dir names; a temporary one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pathloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/pathloom/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts the lineage, and executors may be lost after it.
-
-    rows: about how many rows there will be, where that is known; small tables then go to few files.
-    """
-    spark = df.sparkSession
-    if rows is not None:
-        df = df.coalesce(1 + rows // 250_000)
-    path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that written() made and that no later plan reads."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.written_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["by_batch", "discard", "new_path", "shared_dir", "utf8", "written"]
 
 
 def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
