@@ -42,9 +42,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret by a mark; all documents stay."""
     ledger = written(secrets.scan(docs), "ledger")
     found = secrets.findings(docs, ledger, ["doc_id"]).where(F.size("found") > 0).select("doc_id", "found").dropDuplicates(["doc_id"]).hint("shuffle_hash")
-    text = F.when(F.col("found").isNotNull(), secrets.redacted(F.col("text"), F.col("found"))).otherwise(F.col("text"))
-    joined = docs.join(found, "doc_id", "left")
-    return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("found").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    clean = F.when(F.col("found").isNotNull(), secrets.redacted(F.col("text"), F.col("found"))).otherwise(F.col("text"))
+    # a select of its own: beside an alias `text`, a lambda's `text` would mean the alias
+    joined = docs.join(found, "doc_id", "left").select("doc_id", clean.alias("clean"), "lang", "source", F.col("found").isNotNull().alias("changed"), "n_chars")
+    n_chars = F.when(F.col("changed"), F.length("clean").cast("long")).otherwise(F.col("n_chars"))
+    return joined.select("doc_id", F.col("clean").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
