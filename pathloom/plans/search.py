@@ -200,15 +200,16 @@ def search_many(documents: DataFrame, queries: DataFrame, top_k: int = 10, index
     verified, so results are those of search() without filters.
     """
     index = postings(documents) if index is None else index
-    terms = queries.where("q != ''").select("query_id", "q")
-    lexical = terms.select("query_id", "q", F.explode(F.array(*map(F.lit, ("exact", "token", "prefix", "path")))).alias("kind"), F.col("q").alias("term"))
-    asked = terms.where(F.char_length("q") >= SHORTEST_SUBSTRING).select("query_id", "q", F.explode(F.array_distinct(T.grams(F.col("q")))).alias("term"))
+    terms = queries.where("q != ''").select("q").distinct()  # equal queries are answered once
+    lexical = terms.select("q", F.explode(F.array(*map(F.lit, ("exact", "token", "prefix", "path")))).alias("kind"), F.col("q").alias("term"))
+    asked = terms.where(F.char_length("q") >= SHORTEST_SUBSTRING).select("q", F.explode(F.array_distinct(T.grams(F.col("q")))).alias("term"))
     often = index.where("kind = 'gram'").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    rarest = asked.join(often, "term").groupBy("query_id", "q").agg(F.min_by("term", F.struct("n", "term")).alias("term")).select("query_id", "q", F.lit("gram").alias("kind"), "term")
+    rarest = asked.join(often, "term").groupBy("q").agg(F.min_by("term", F.struct("n", "term")).alias("term")).select("q", F.lit("gram").alias("kind"), "term")
     met = lexical.unionByName(rarest).join(index, ["kind", "term"])
     verified = met.where((F.col("kind") != "prefix") | (F.char_length("q") <= LONGEST_PREFIX))
     # one row for a pair; a pair that only a gram brought must hold the query in its name
-    pairs = verified.groupBy("query_id", "q", "document_id").agg(F.min(F.col("kind") == "gram").alias("gram_only"))
+    pairs = verified.groupBy("q", "document_id").agg(F.min(F.col("kind") == "gram").alias("gram_only"))
     hits = pairs.join(documents, "document_id").where(~F.col("gram_only") | F.contains("name_norm", F.col("q"))).withColumn("match_class", match_class(F.col("q"))).where("match_class is not null")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*ORDER))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= top_k).withColumns({"match_type": class_name(F.col("match_class")), "ranking_version": F.lit(RANKING_VERSION)}).drop("gram_only")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(*ORDER))
+    best = hits.withColumn("rank", rank).where(F.col("rank") <= top_k).withColumns({"match_type": class_name(F.col("match_class")), "ranking_version": F.lit(RANKING_VERSION)}).drop("gram_only")
+    return queries.select("query_id", "q").join(best, "q")
