@@ -98,8 +98,8 @@ def high_water(outbox: DataFrame, consumers: DataFrame, retired: DataFrame | Non
 
 def backlog(outbox: DataFrame, consumers: DataFrame) -> DataFrame:
     """(consumer_id, backlog): rows that a consumer has yet to apply, never below 0."""
-    latest = high_water(outbox, consumers)
-    return consumers.crossJoin(F.broadcast(latest)).select("consumer_id", V.subtract_saturating(F.col("latest"), F.col("last_sequence")).alias("backlog"))
+    latest = high_water(outbox, consumers).withColumn("one", F.lit(1))
+    return consumers.withColumn("one", F.lit(1)).join(F.broadcast(latest), "one").select("consumer_id", V.subtract_saturating(F.col("latest"), F.col("last_sequence")).alias("backlog"))
 
 
 def combined_backlog(catalog: int, content: int, maintenance_pending: bool) -> int:

@@ -124,10 +124,12 @@ class Generations:
         self._mark(number, "ready")
         return number
 
-    def append_page(self, rows: DataFrame, number: int, page: int) -> None:
-        """Add a page to a building generation; pages have folders of their own, so one that was cut off is written anew."""
-        self._mark(number, "building", page=page)
+    def append_page(self, rows: DataFrame, number: int, page: int, **info) -> None:
+        """Add a page to a building generation and then note it; pages have folders of their own, so one that was cut off is written anew."""
+        if str(number) not in self._book()["records"]:
+            self._mark(number, "building")
         rows.write.mode("overwrite").parquet(f"{self.path(number)}/page={page}")
+        self._mark(number, "building", page=page, **info)
 
     def ready(self, number: int) -> None:
         self._mark(number, "ready")

@@ -10,7 +10,7 @@ from pathloom.operators import catalog, content
 from pathloom.operators.governor import Governor, Sample, run
 from pathloom.sources import files, journal
 from pathloom.sources import tables as G
-from pathloom.streaming import projector, stateful
+from pathloom.streaming import builder, projector, stateful
 from test_graph import V, event, events, link, state, tree
 
 
@@ -305,3 +305,22 @@ def test_replayed_requests_are_dropped(spark, tmp_path):
     q = projector.admitted(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.request_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b"]
+
+
+def test_builds_go_on_where_they_were_cut_off(spark, tmp_path):
+    docs = spark.createDataFrame([(i, i * 10, f"text {i}") for i in range(25)], "document_id long, size long, text string")
+    g = G.Generations(spark, f"file://{tmp_path}/c")
+    small = builder.Limits(page_documents=10)
+    make = lambda page: content.index(page.where("document_id != 3"))
+    first = builder.ResumableBuild(g, make, small).run(docs, pages=2)
+    assert not first["done"] and g.active() is None and g.building() == [1]
+    # a page that was written but not noted is written over
+    make(docs.limit(5)).write.parquet(f"{g.path(1)}/page=2")
+    tight = builder.Limits(page_documents=10, max_documents=22)
+    with pytest.raises(CapacityExceeded):
+        builder.ResumableBuild(g, make, tight).run(docs)
+    last = builder.ResumableBuild(g, make, small).run(docs)
+    assert last["done"] and last["number"] == 1 and last["rows"] == 24 and g.active() == 1
+    assert {r.document_id for r in g.read().collect()} == set(range(25)) - {3}
+    again = builder.ResumableBuild(g, make, small).run(docs)
+    assert again["number"] == 2 and g.active() == 2 and g.info(1)["state"] == "retired"
