@@ -55,17 +55,15 @@ def mix(docs: DataFrame, weights: dict[str, float], seed: int = 42, id_col: str
     """docs' columns and copy (from 1), shuffle_key: each row as often as its Poisson count says, in shuffled order.
 
     Rows with the same id have the same count and keys; a null id hashes as the empty text. Sources without weight and
-    an empty table give no rows. Columns named copy or shuffle_key are refused.
+    an empty table give no rows. Columns of docs named copy or shuffle_key are replaced.
     """
-    if {"copy", "shuffle_key"} & set(docs.columns):
-        raise ValueError("docs has a column copy or shuffle_key")
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    table = rates(docs, weights, source_col, rest).select(F.col("source").alias("__source"), F.col("c").alias("__c"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "shuffle_key"))).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(source_col).cast("string").alias("source"))
+    table = rates(docs, weights, source_col, rest).select(F.col("source").alias("named"), "c")
     if docs.select(F.col(source_col).cast("string")).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    counted = docs.join(table, F.col(source_col).cast("string").eqNullSafe(F.col("__source"))).withColumn("__u", uniform(key, seed))
-    counted = counted.withColumn("__n", F.size(F.filter("__c", lambda c: c <= F.col("__u")))).where("__n > 0")
-    copies = counted.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
-    copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("copy").cast("string")).cast("binary")))
+    counted = rows.join(table, F.col("source").eqNullSafe(F.col("named"))).withColumn("u", uniform(F.col("key"), seed))
+    counted = counted.withColumn("n", F.size(F.filter("c", lambda c: c <= F.col("u")))).where("n > 0")
+    copies = counted.select("row", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    copies = copies.select("row.*", "copy", F.md5(F.concat_ws(":", F.lit(str(seed)), "key", F.col("copy").cast("string")).cast("binary")).alias("shuffle_key"))
     dealt = copies.repartition(partitions, "shuffle_key") if partitions else copies.repartition("shuffle_key")
     return dealt.sortWithinPartitions("shuffle_key")

@@ -48,18 +48,24 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def text_hash(text: Column) -> Column:
+    """What tells rows of one id apart; a null text is empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp) for each row of docs; fp is the fingerprint as a signed long. A null text counts as empty."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, text_hash, fp) for each row of docs; fp is the fingerprint as a signed long. A null text counts as empty."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text_hash(text).alias("text_hash"), text.alias("text"))
 
     def make():
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            fps = np.fromiter((fingerprint(t, width) for t in utf8(b.column(1))), np.uint64, b.num_rows)
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            fps = np.fromiter((fingerprint(t, width) for t in utf8(b.column(2))), np.uint64, b.num_rows)
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["id", "text_hash", "fp"])
 
         return one
 
-    return by_batch(rows, make, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return by_batch(rows, make, f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def _segment(c: Column, k: int) -> Column:
@@ -77,18 +83,19 @@ def _bucketed(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*out)).alias("b")).select("b.k", "b.key", "fp")
 
 
-def links(fps: DataFrame, bits: int = BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def links(fps: DataFrame, bits: int = BITS, bucket_rows: int = BUCKET_ROWS, rows: int | None = None) -> DataFrame:
     """(a, b) between distinct fingerprints whose components are those of all pairs at `bits` or fewer differing bits (2 at most).
 
     In buckets of up to bucket_rows fingerprints these are the pairs themselves. Fingerprints of larger buckets link,
     for each of the 65 values that differ from them in at most one bit, to the smallest fingerprint near the same value;
     two fingerprints share such a value exactly if they differ in at most 2 bits, so this is exact too.
+    rows: about how many fingerprints there are at most, if known.
     """
     if not 0 <= bits <= 2:
         raise ValueError("the ring of three segments serves 0 to 2 bits")
     keys = _bucketed(fps)
     sizes = keys.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = written(keys.join(sizes, ["k", "key"]), "buckets")
+    sized = written(keys.join(sizes, ["k", "key"]), "buckets", None if rows is None else 6 * rows)
     small = sized.where(F.col("n") <= bucket_rows).select("k", "key", "fp")
     x = small.select("k", "key", F.col("fp").alias("a"))
     y = small.select("k", "key", F.col("fp").alias("b"))
@@ -109,17 +116,34 @@ def links(fps: DataFrame, bits: int = BITS, bucket_rows: int = BUCKET_ROWS) -> D
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(id, fp, component_id, is_kept) for each row of docs.
+    """(id, text_hash, fp, component_id, is_kept) for each row of docs.
 
-    component_id is the smallest id that links reach. is_kept holds for rows with that id.
+    component_id is the smallest id that links reach. is_kept holds for rows with that id; text_hash is text_hash() of the row's text.
     Equal fingerprints are one node, so copies never make pairs. Rows with a null id take part: they get
     the group's smallest id that is not null, null if there is none, and then is_kept is true for them.
     Repeated rows stay repeated. An empty table gives an empty one; other columns are not looked at.
     """
     fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    rows = fps.count()
     nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = written(components(links(nodes.select("fp"), bits, bucket_rows)), "roots")
+    roots = written(components(links(nodes.select("fp"), bits, bucket_rows, rows)), "roots", rows)
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     out = fps.join(linked.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp")
-    return out.select("id", "fp", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("is_kept"))
+    return out.select("id", "text_hash", "fp", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("is_kept"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps: one of each group. Rows that repeat an id and text are one row.
+
+    A group in which all ids are null keeps one row for each text.
+    """
+    kept = near_duplicates(docs, id_col, text_col, **how).where("is_kept").select(F.col("id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+    kept = written(kept, "kept")
+    some = kept.distinct()
+    repeated = kept.count() != some.count()
+    mine = text_hash(F.col(text_col))
+    out = docs.join(some.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_kept_id")) & (mine == F.col("_kept_hash")), "left_semi")
+    if repeated:
+        out = out.withColumn("_hash", mine).dropDuplicates([id_col, "_hash"]).drop("_hash")
+    return out

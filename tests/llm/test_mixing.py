@@ -56,7 +56,9 @@ def test_empty_tables_and_refusals(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, source string")
     assert mixing.mix(df.limit(0), {"a": 1.0}).count() == 0
     assert mixing.mix(df, {}).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix(df.withColumn("copy", F.lit(1)), {"a": 1.0})
+    clash = df.withColumns({"copy": F.lit("x"), "shuffle_key": F.lit(0), "n": F.lit(7), "c": F.lit(8), "key": F.lit("k"), "row": F.lit(1)})
+    out = mixing.mix(clash, {"a": 1.0}, seed=1)
+    assert out.columns == ["doc_id", "source", "n", "c", "key", "row", "copy", "shuffle_key"]
+    assert all(r.n == 7 and r.c == 8 and r.key == "k" and isinstance(r.copy, int) for r in out.collect())
     with pytest.raises(ValueError):
         mixing.mix(df, {"a": -1.0})

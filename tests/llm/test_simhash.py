@@ -82,3 +82,10 @@ def test_nulls_ties_and_empty_tables(spark):
 def test_one_bucket_of_very_long_text():
     text = ("alpha beta gamma delta " * 40000).encode()
     assert simhash.fingerprint(text) == slow_fingerprint(text.decode())
+
+
+def test_deduplicated_rows(spark):
+    rows = [(1, "a b c d e"), (2, "A b c d e"), (2, "other words in here now"), (3, "x"), (3, "x"), (None, "x"), (None, "lone words of null id"), (None, None), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_hash", F.lit("kept"))
+    got = sorted(((r.doc_id, r.text) for r in simhash.deduplicated(df.drop("_hash")).collect()), key=str)
+    assert got == sorted([(1, "a b c d e"), (2, "other words in here now"), (3, "x"), (None, "lone words of null id"), (4, None)], key=str)
