@@ -28,8 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that with the smallest id, of each group of near-duplicates."""
-    kept = simhash.near_duplicates(docs).where("is_kept").select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return simhash.deduplicated(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +40,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret by a mark; all documents stay."""
     ledger = written(secrets.scan(docs), "ledger")
-    found = secrets.findings(docs, ledger, ["doc_id"]).where(F.size("found") > 0).select("doc_id", "found").dropDuplicates(["doc_id"]).hint("shuffle_hash")
-    clean = F.when(F.col("found").isNotNull(), secrets.redacted(F.col("text"), F.col("found"))).otherwise(F.col("text"))
+    found = secrets.findings(docs, ledger, COLUMNS)
+    changed = F.size("found") > 0
+    clean = F.when(changed, secrets.redacted(F.col("text"), F.col("found"))).otherwise(F.col("text"))
     # a select of its own: beside an alias `text`, a lambda's `text` would mean the alias
-    joined = docs.join(found, "doc_id", "left").select("doc_id", clean.alias("clean"), "lang", "source", F.col("found").isNotNull().alias("changed"), "n_chars")
+    joined = found.select("doc_id", clean.alias("clean"), "lang", "source", changed.alias("changed"), "n_chars")
     n_chars = F.when(F.col("changed"), F.length("clean").cast("long")).otherwise(F.col("n_chars"))
     return joined.select("doc_id", F.col("clean").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
