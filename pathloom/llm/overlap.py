@@ -1,0 +1,223 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: an exact set join, without a bound on fingerprint bits.
+
+1. A text's set holds the 64-bit hashes of its shingles of WIDTH words. Equal sets are one node.
+2. Two sets of similarity 4/5 share the first of their common shingles, in any order of all shingles, inside the first
+   n - ceil(4n/5) + 1 of each. The order is by hash, with those that a sample of the sets finds often last,
+   so boilerplate makes no large buckets. Buckets of a shingle are joined with bounds by size and by places.
+3. First each set meets one other, of the least ones of its buckets that with the most shared shingles; close ones are
+   one component. Only buckets that then
+   hold two components or more are joined with themselves.
+4. Candidates meet their bitmaps, in which each shingle flips one bit: sets differ in no fewer shingles than bitmaps do
+   in bits. What is left is verified on the whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .components import components
+from .shared import discard, release, utf8, written
+from .simhash import marked, text_hash
+
+WIDTH = 5
+#: A pair is close if its similarity is UP / DOWN or more.
+UP, DOWN = 4, 5
+#: One of so many sets is in the sample, as long as that leaves SAMPLE rows; below, more are.
+SAMPLED = 16
+SAMPLE = 4000
+#: Shingles of so many sets in the sample come last in the order; of more than OFTEN_MOST the most frequent ones.
+OFTEN = 5
+OFTEN_MOST = 100_000
+#: Texts that a worker holds the sets of at a time, and rows up to which a table of keys is broadcast.
+_SLICE = 500
+_LONGS, _WIDE = 16, 256
+_KEYS = 1_000_000
+_MIX = np.random.default_rng(5).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """The sorted set of the hashes of lower-cased (A-Z) word shingles, as signed longs; fewer words are one shingle."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    digest = xxhash.xxh64_intdigest
+    one = np.fromiter((digest(w) for w in words), np.uint64, len(words))
+    n = max(1, len(words) - width + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(min(width, len(words))):
+        h += one[k : k + n] * _MIX[k]
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+    return np.unique((h ^ (h >> np.uint64(31))).view(np.int64))
+
+
+def _node(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63)
+
+
+def _bitmap(s: np.ndarray, longs: int = _LONGS) -> np.ndarray:
+    flips = np.bincount(s & (64 * longs - 1), minlength=64 * longs) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+
+
+def _by_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+    """by_batch() over few rows at a time: what a text makes is larger than the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for b in batches:
+            for at in range(0, b.num_rows, _SLICE):
+                out = f(b.slice(at, _SLICE))
+                if out.num_rows:
+                    yield out
+
+    return df.mapInArrow(run, schema)
+
+
+def _key(i: str, h: str) -> Column:
+    return F.xxhash64(F.col(i), F.col(h))
+
+
+def _nodes(rows: DataFrame, width: int, one_of: int) -> DataFrame:
+    """(id, text_hash, node, n, bits, some) for rows (id, text_hash, text): n is the set's size, bits its bitmap, some is the set for one of so many nodes, once in a task, else empty."""
+
+    def make():
+        seen = set()
+
+        def chosen(i: int) -> bool:
+            if i % one_of or i in seen:
+                return False
+            seen.add(i)
+            return True
+
+        def one(b: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingles(t, width) for t in utf8(b.column(2))]
+            nodes = [_node(s) for s in sets]
+            some = [s if chosen(i) else s[:0] for s, i in zip(sets, nodes, strict=True)]
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _lists([_bitmap(s) for s in sets]), _lists(some)], ["id", "text_hash", "node", "n", "bits", "some"])
+
+        return one
+
+    return _by_slice(rows, make, f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, node long, n int, bits array<long>, some array<long>")
+
+
+def _often(fps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sample's frequent shingles, sorted, and the place of each in the order by frequency, from 1."""
+    counts = fps.select(F.explode("some").alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    found = counts.orderBy(F.desc("n"), "tok").limit(OFTEN_MOST).collect()
+    toks = np.array([r.tok for r in reversed(found)], np.int64)
+    at = np.argsort(toks)
+    return toks[at], (at + 1).astype(np.int64)
+
+
+def _prefixes(texts: DataFrame, width: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(tok, node, n, at) for the first shingles of each set, n of the set's size and at the shingle's place, from 0."""
+
+    def make():
+        toks, place = often
+        seen = set()
+
+        def one(b: pa.RecordBatch) -> pa.RecordBatch:
+            parts = [np.zeros((4, 0), np.int64)]
+            for t in utf8(b.column(0)):
+                s = shingles(t, width)
+                n, i = len(s), _node(s)
+                if not n or i in seen:
+                    continue
+                seen.add(i)
+                first = n - -(-UP * n // DOWN) + 1
+                if len(toks):
+                    near = np.minimum(np.searchsorted(toks, s), len(toks) - 1)
+                    s = s[np.lexsort((s, np.where(toks[near] == s, place[near], 0)))]
+                parts.append(np.stack([s[:first], np.full(first, i), np.full(first, n), np.arange(first)]))
+            tok, node, n, at = np.concatenate(parts, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(tok), pa.array(node), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], ["tok", "node", "n", "at"])
+
+        return one
+
+    return _by_slice(texts, make, "tok long, node long, n int, at int")
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, n, bits, s) for each of texts: the set's size, its wide bitmap and itself."""
+
+    def make():
+        def one(b: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingles(t, width) for t in utf8(b.column(0))]
+            return pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _lists([_bitmap(s, _WIDE) for s in sets]), _lists(sets)], ["node", "n", "bits", "s"])
+
+        return one
+
+    return _by_slice(texts, make, "node long, n int, bits array<long>, s array<long>")
+
+
+def _possible(a: str, b: str) -> Column:
+    """Whether two sets that share a shingle at these places can be close."""
+    shared = F.least(f"{a}.at", f"{b}.at") + 1 + F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at")) - 1
+    return (UP + DOWN) * shared >= UP * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def _verified(pairs: DataFrame, fps: DataFrame, rows: DataFrame, width: int, n: int) -> DataFrame:
+    """The pairs (a, b), without repeats, whose whole sets are close; sets are made of one row of each node in question."""
+    side = lambda t, c, *of: t.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in of))
+    pairs = written(pairs.distinct(), "candidates", n)
+    light = fps.select("node", "n", "bits").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"])
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda m, x: m + x)
+    # of n_a + n_b shingles 2 UP / (UP + DOWN) are shared or more, counted in both
+    few = (UP + DOWN) * differ <= (DOWN - UP) * (F.col("n_a") + F.col("n_b"))
+    filtered = lambda t, of: written(t.join(side(of, "a", "n", "bits"), "a").join(side(of, "b", "n", "bits"), "b").where(few).select("a", "b"), "candidates", n)
+    left = filtered(pairs, light)
+    discard(pairs)
+    nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = written(fps.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(_key("id", "text_hash")).alias("key")).select("key"), "chosen", n)
+    near = F.broadcast(chosen) if chosen.count() <= _KEYS else chosen
+    sets = written(_sets(rows.withColumn("key", _key("id", "text_hash")).join(near, "key", "left_semi").select("text"), width), "shingles")
+    release(rows.sparkSession)
+    last = filtered(left, sets)  # the narrow bitmaps tell nothing of long texts
+    close = (UP + DOWN) * F.size(F.array_intersect("s_a", "s_b")) >= UP * (F.size("s_a") + F.size("s_b"))
+    out = written(last.join(side(sets, "a", "s"), "a").join(side(sets, "b", "s"), "b").where(close).select("a", "b").distinct(), "close", n)
+    discard(left, last, chosen, sets)
+    release(rows.sparkSession)
+    return out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """(id, text_hash, fp, component_id, is_kept) for each row of docs, as simhash.near_duplicates() has them.
+
+    Components are those of all pairs of texts whose sets of shingles have a Jaccard similarity of 4/5 or more; fp is
+    the hash of the set. Texts without words are one group.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text_hash(text).alias("text_hash"), text.alias("text"))
+    n = docs.count()
+    fps = written(_nodes(rows, width, max(1, min(SAMPLED, n // SAMPLE))), "sets")
+    nodes = fps.select("id", "text_hash", F.col("node").alias("fp"))
+    each = Window.partitionBy("tok")
+    dealt = _prefixes(rows.select("text"), width, _often(fps)).repartition("tok").distinct()
+    dealt = dealt.withColumns({"times": F.count("*").over(each), "hub": F.min(F.struct("node", "n", "at")).over(each)}).where("times > 1").drop("times")
+    buckets = written(dealt, "buckets")
+    own = buckets.select(F.struct("node", "n", "at").alias("x"), F.col("hub").alias("y")).where(F.col("x.node") != F.col("y.node")).where(_possible("x", "y"))
+    release(docs.sparkSession)
+    # one partner for each node: a set then travels once, however large its group is
+    shared = own.groupBy(F.col("x.node").alias("b"), F.col("y.node").alias("a")).agg(F.count("*").alias("times"))
+    best = shared.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
+    stars = _verified(best.select("a", "b"), fps, rows, width, n)
+    roots = written(components(stars), "roots", n)
+    rooted = buckets.drop("hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = rooted.withColumns({"low": F.min("root").over(each), "high": F.max("root").over(each)}).where("low < high")
+    rooted = written(rooted.select("tok", F.struct("node", "n", "at", "root").alias("x")), "mixed", n)
+    pairs = rooted.join(rooted.select("tok", F.col("x").alias("y")), "tok").where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))).where(_possible("x", "y"))
+    rest = _verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), fps, rows, width, n)
+    discard(buckets, rooted)
+    return marked(nodes, stars.unionAll(rest), n)

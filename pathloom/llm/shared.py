@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import discard, new_path, shared_dir, written
 
-__all__ = ["by_batch", "discard", "new_path", "shared_dir", "utf8", "written"]
+__all__ = ["by_batch", "discard", "new_path", "release", "shared_dir", "utf8", "written"]
 
 
 def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
@@ -31,3 +32,9 @@ def utf8(column: pa.Array) -> Iterator[bytes | None]:
         column = column.cast(pa.large_binary())
     for x in column:
         yield x.as_py()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are done."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

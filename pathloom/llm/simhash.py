@@ -11,6 +11,7 @@ then the whole Hamming distance.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +116,16 @@ def links(fps: DataFrame, bits: int = BITS, bucket_rows: int = BUCKET_ROWS, rows
     return close.unionAll(stars)
 
 
+def marked(fps: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
+    """fps (id, text_hash, fp) with component_id and is_kept: components of edges(a, b) between values of fp."""
+    nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = written(components(edges), "roots", rows)
+    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = fps.join(linked.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp")
+    return out.select("id", "text_hash", "fp", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("is_kept"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id, text_hash, fp, component_id, is_kept) for each row of docs.
 
@@ -125,20 +136,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     rows = fps.count()
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = written(components(links(nodes.select("fp"), bits, bucket_rows, rows)), "roots", rows)
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = fps.join(linked.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp")
-    return out.select("id", "text_hash", "fp", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("is_kept"))
+    return marked(fps, links(fps.select("fp").distinct(), bits, bucket_rows, rows), rows)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps: one of each group. Rows that repeat an id and text are one row.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates, **how) -> DataFrame:
+    """The rows of docs that find() (near_duplicates(), or another's) keeps: one of each group. Rows that repeat an id and text are one row.
 
     A group in which all ids are null keeps one row for each text.
     """
-    kept = near_duplicates(docs, id_col, text_col, **how).where("is_kept").select(F.col("id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+    kept = find(docs, id_col, text_col, **how).where("is_kept").select(F.col("id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
     kept = written(kept, "kept")
     some = kept.distinct()
     repeated = kept.count() != some.count()
