@@ -6,6 +6,8 @@ and reads them again, so a lost executor never costs more than a stage.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replicate by source to the target weights and shuffle."""
-    return mixing.mix(docs.select(*COLUMNS), WEIGHTS, rest=REST)
+    return mixing.mix(docs.select(*COLUMNS), WEIGHTS, rest=REST, most_rate=math.inf)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secret_scan", secret_scan), ("mixture", mixture)]

@@ -2,7 +2,8 @@
 
 A source with weight w and n of the N rows has the mean repetition rate w * N / n (weights sum to 1). Each document's
 number of copies is the inverse of that Poisson distribution at a uniform number that its id and the seed hash to: the
-same on every run and after the loss of an executor. Copies are dealt over all partitions by a hash of id and copy and
+same on every run and after the loss of an executor. Means over ONE_TABLE are sums of draws with smaller means, each
+with a hash of its own; that is Poisson too, and costs as much as the copies that come out. Copies are dealt over all partitions by a hash of id and copy and
 sorted by it inside, which is a global shuffle without sampling.
 """
 
@@ -13,8 +14,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Beyond this mean rate a document's count would need too long a table; such targets are refused.
+#: The mean rate over which a target is refused unless the caller says otherwise; the registered queries take any.
 MOST_RATE = 500.0
+#: Up to this mean one table serves: exp(-rate) is a normal double. Beyond, a draw has a mean of DRAW_RATE at most.
+ONE_TABLE, DRAW_RATE = 700.0, 500.0
+#: A row's copies are made in blocks of so many, so that no array grows with their number.
+BLOCK = 10_000
 #: Up to as many sources the table of sources is broadcast; with more it is joined by a shuffle.
 BROADCAST_SOURCES = 5000
 
@@ -36,10 +41,11 @@ def cumulative(rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["c"])).otherwise(F.array().cast("array<double>"))
 
 
-def rates(docs: DataFrame, weights: dict[str, float], source_col: str = "source", rest: float = 0.0) -> DataFrame:
-    """(source, n, rate, c) for each source of docs. A source (null is one too) that weights lacks has the weight rest.
+def rates(docs: DataFrame, weights: dict[str, float], source_col: str = "source", rest: float = 0.0, most_rate: float = MOST_RATE) -> DataFrame:
+    """(source, n, rate, draws, c) for each source of docs. A source (null is one too) that weights lacks has the weight rest.
 
-    Weights are relative: they are scaled so that those of the sources present sum to 1.
+    Weights are relative: they are scaled so that those of the sources present sum to 1. c is the table of one of the
+    source's draws. A rate over most_rate is an error.
     """
     if any(not (w >= 0 and math.isfinite(w)) for w in [*weights.values(), rest]):
         raise ValueError("weights must be finite and not negative")
@@ -47,23 +53,28 @@ def rates(docs: DataFrame, weights: dict[str, float], source_col: str = "source"
     counts = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n")).withColumn("w", F.coalesce(F.when(F.col("source").isNotNull(), named), F.lit(float(rest))))
     total = counts.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
     rate = F.col("w") / F.lit(total.w) * F.lit(total.n) / F.col("n") if total.w else F.lit(0.0)
-    out = counts.withColumn("rate", rate)
-    return out.select("source", "n", "rate", F.when(F.col("rate") > MOST_RATE, F.raise_error(F.concat(F.lit("mean repetition rate over the limit: "), F.col("rate").cast("string")))).otherwise(cumulative(F.col("rate"))).alias("c"))
+    draws = F.when(F.col("rate") > ONE_TABLE, F.ceil(F.col("rate") / DRAW_RATE)).otherwise(1).cast("int")
+    out = counts.withColumn("rate", rate).withColumn("draws", draws)
+    refused = F.raise_error(F.concat(F.lit("mean repetition rate over the limit: "), F.col("rate").cast("string")))
+    return out.select("source", "n", "rate", "draws", F.when(F.col("rate") > most_rate, refused).otherwise(cumulative(F.col("rate") / F.col("draws"))).alias("c"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float], seed: int = 42, id_col: str = "doc_id", source_col: str = "source", rest: float = 0.0, partitions: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float], seed: int = 42, id_col: str = "doc_id", source_col: str = "source", rest: float = 0.0, partitions: int | None = None, most_rate: float = MOST_RATE) -> DataFrame:
     """docs' columns and copy (from 1), shuffle_key: each row as often as its Poisson count says, in shuffled order.
 
     Rows with the same id have the same count and keys; a null id hashes as the empty text. Sources without weight and
     an empty table give no rows. Columns of docs named copy or shuffle_key are replaced.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "shuffle_key"))).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(source_col).cast("string").alias("source"))
-    table = rates(docs, weights, source_col, rest).select(F.col("source").alias("named"), "c")
+    table = rates(docs, weights, source_col, rest, most_rate).select(F.col("source").alias("named"), "draws", "c")
     if docs.select(F.col(source_col).cast("string")).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    counted = rows.join(table, F.col("source").eqNullSafe(F.col("named"))).withColumn("u", uniform(F.col("key"), seed))
-    counted = counted.withColumn("n", F.size(F.filter("c", lambda c: c <= F.col("u")))).where("n > 0")
-    copies = counted.select("row", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    several = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: uniform(F.concat_ws(":", "key", F.lit("draw"), j.cast("string")), seed))
+    us = F.when(F.col("draws") == 1, F.array(uniform(F.col("key"), seed))).otherwise(several)
+    counted = rows.join(table, F.col("source").eqNullSafe(F.col("named"))).withColumn("us", us)
+    counted = counted.withColumn("n", F.aggregate("us", F.lit(0), lambda n, u: n + F.size(F.filter("c", lambda c: c <= u)))).where("n > 0")
+    blocks = counted.select("row", "key", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int"))).alias("block"))
+    copies = blocks.select("row", "key", F.explode(F.sequence(F.col("block") * BLOCK + 1, F.least("n", (F.col("block") + 1) * BLOCK))).alias("copy"))
     copies = copies.select("row.*", "copy", F.md5(F.concat_ws(":", F.lit(str(seed)), "key", F.col("copy").cast("string")).cast("binary")).alias("shuffle_key"))
     dealt = copies.repartition(partitions, "shuffle_key") if partitions else copies.repartition("shuffle_key")
     return dealt.sortWithinPartitions("shuffle_key")

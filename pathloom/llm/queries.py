@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, rest=1.0)
+    return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, rest=1.0, most_rate=math.inf)
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
