@@ -26,12 +26,22 @@ class Rule:
     version: int = 1
 
 
+_BREAK = r"(?:[\x20\t]*+(?:\r\n|\n|\r|\\r\\n|\\n|\\r))++[\x20\t]*+"
+_BASE64 = r"[A-Za-z0-9+/]"
+#: A key from BEGIN over all that stands before its END. Where that is missing or another BEGIN comes first: over the
+#: lines of headers and those of base64, escaped line breaks too, if the first of base64 has 16 characters or more.
+_PEM = (
+    r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END \3PRIVATE KEY-----"
+    rf"|(?:{_BREAK}[A-Za-z-]+:[^\r\n\\]*+)*+(?:{_BREAK}|[\x20\t]++){_BASE64}{{16,}}+={{0,2}}+"
+    rf"(?:\s++{_BASE64}{{16,}}+={{0,2}}+|{_BREAK}{_BASE64}++={{0,2}}+(?=[\x20\t]*+(?:[\r\n\\]|-----|$)))*+)?"
+)
+
 #: In the order in which kinds are listed.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", 6, 2),
     Rule("access", r"()(AKIA[A-Z0-9]+)", 20),
     Rule("hex", r"()([0-9a-f]{24,})", 24),
-    Rule("pem", r"()(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1),
+    Rule("pem", rf"()({_PEM})", 1, version=3),  # 1: the BEGIN line only; 2 is not used
 )
 BASE = ("assign", "access", "hex")
 #: Characters that mark matches; those of a text are replaced first, which moves nothing and touches no match.
