@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import by_batch, discard, utf8, written
+from .simhash import text_hash
 
 MIN = 100
 K = 24
@@ -327,16 +328,45 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(id, key, text) for each row of docs, and (key, of): the id of each key, where keys aren't the ids themselves.
+
+    A key is of one id and text. Where an id (null is one) has several texts, keys are numbers in the order of ids, nulls
+    last, and of the texts' hashes.
+    """
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("key"), text.alias("text"), text_hash(text).alias("_hash"))
+    if rows.groupBy("key").agg((F.min("_hash") != F.max("_hash")).alias("several")).where("several").isEmpty():
+        return rows.select("id", "key", "text"), None
+    order = [F.col("of").asc_nulls_last(), F.col("of_hash").asc()]
+    pairs = rows.select(F.col("id").cast("long").alias("of"), F.col("_hash").alias("of_hash")).distinct()
+    keys = written(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()), "keys")
+    keyed = rows.drop("key").join(keys, F.col("id").cast("long").eqNullSafe(F.col("of")) & (F.col("_hash") == F.col("of_hash")))
+    return keyed.select("id", "key", "text"), keys.select("key", "of")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", merged: bool = False) -> DataFrame:
     """(id, start, stop, first_id, first_start): occurrences of repeated strings of MIN bytes or more, but for their first ones.
 
     The bytes start to stop of id's text also stand at first_start of first_id, which is earlier: a smaller id, or the
     same and an earlier start. Every string of MIN bytes that also starts earlier lies in one of the rows. Ids are integers;
-    null ones are taken as the largest. Rows with one id count as the same document, seen again. Texts that are null
+    null ones are taken as the largest. Rows with one id and text count as the same document, seen again; rows with one id
+    and different texts are documents of their own, in the order of the texts' hashes. Texts that are null
     or shorter than MIN give no rows. merged: what the rows cover is the same, in fewer rows; their first places may be null.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts, keys = _keyed(docs, id_col, text_col)
+    spans = _spans(texts.select(F.col("key").alias("id"), "text"), merged)
+    if keys is None:
+        return spans
+    known = keys.withColumn("of", F.coalesce("of", F.lit(_LAST)))
+    mine, first = known.toDF("id", "of"), known.toDF("first_id", "first_of")
+    out = spans.join(mine, "id").join(first, "first_id", "left")
+    return out.select(F.col("of").alias("id"), "start", "stop", F.col("first_of").alias("first_id"), "first_start")
+
+
+def _spans(texts: DataFrame, merged: bool) -> DataFrame:
+    """repeats() for texts (id, text) whose ids are keys of one text each."""
+    spark = texts.sparkSession
     able = texts.where(F.octet_length("text") >= MIN)
     repeated = written(_repeated(_anchor_rows(able)), "anchors")
     _release(spark)
@@ -356,12 +386,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mer
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for each row of docs; kept has the bytes that no row of repeats() covers.
 
-    A null text is empty. Repeated rows stay, and since they are one document they keep the same bytes. An empty table gives an empty one.
+    A null text is empty. Rows that repeat an id and text stay, and since they are one document they keep the same bytes. An empty table gives an empty one.
     """
-    spans = written(repeats(docs, id_col, text_col, merged=True).select("id", "start", "stop"), "removed")
+    texts, _ = _keyed(docs, id_col, text_col)
+    spans = written(_spans(texts.select(F.col("key").alias("id"), "text"), merged=True).select("id", "start", "stop"), "removed")
     _release(docs.sparkSession)
     lists = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("id", "key").hint("shuffle_hash")
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("key"), F.col(text_col).cast("string").alias("text"))
     joined = texts.join(lists, "key", "left").select("id", "text", "spans")
 
     def make():
