@@ -26,6 +26,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 BITS = 2
 #: Buckets with more fingerprints go to the star form, which is exact and linear in their number.
 BUCKET_ROWS = 200
+#: Up to so many rows that go, their ids are broadcast; beyond, the join is a shuffle.
+GONE_ROWS = 1_000_000
 _BLOCK = 1 << 16
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -142,14 +144,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates, **how) -> DataFrame:
     """The rows of docs that find() (near_duplicates(), or another's) keeps: one of each group. Rows that repeat an id and text are one row.
 
-    A group in which all ids are null keeps one row for each text.
+    A group in which all ids are null keeps one row for each text. Columns of docs may have any names.
     """
-    kept = find(docs, id_col, text_col, **how).where("is_kept").select(F.col("id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
-    kept = written(kept, "kept")
-    some = kept.distinct()
-    repeated = kept.count() != some.count()
-    mine = text_hash(F.col(text_col))
-    out = docs.join(some.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_kept_id")) & (mine == F.col("_kept_hash")), "left_semi")
-    if repeated:
-        out = out.withColumn("_hash", mine).dropDuplicates([id_col, "_hash"]).drop("_hash")
-    return out
+    marks = written(find(docs, id_col, text_col, **how).groupBy("id", "text_hash").agg(F.first("is_kept").alias("is_kept"), F.count("*").alias("n")), "marks")
+    gone = marks.where(~F.col("is_kept")).select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    rows = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("text_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    near = F.broadcast(gone) if gone.count() <= GONE_ROWS else gone
+    out = rows.join(near, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left_anti")
+    if not marks.where(F.col("is_kept") & (F.col("n") > 1)).isEmpty():
+        out = out.dropDuplicates(["id", "text_hash"])
+    return out.select("row.*")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from test_simhash import slow_components
 
-from pathloom.llm import overlap
+from pathloom.llm import ring
 
 
 def slow_set(text):
@@ -44,9 +44,10 @@ def test_against_all_pairs(spark, monkeypatch):
     sets = {i: slow_set(t) for i, t in rows}
     want = slow_components(list(sets), lambda a, b: close(sets[a], sets[b]))
     assert 40 < len(set(want.values())) < len(want) - 80
-    for often in (5, 10**9):  # with and without an order by frequency
-        monkeypatch.setattr(overlap, "OFTEN", often)
-        got = {r.id: (r.component_id, r.is_kept) for r in overlap.near_duplicates(df).collect()}
+    for rounds, large, group in ((3, 32, 200), (0, 1, 2)):  # with hubs; all by pairs of cut buckets, in small parts
+        for name, value in (("ROUNDS", rounds), ("BUCKET_ROWS", large), ("GROUP_ROWS", group)):
+            monkeypatch.setattr(ring, name, value)
+        got = {r.id: (r.component_id, r.is_kept) for r in ring.near_duplicates(df).collect()}
         assert got == {i: (want[i], want[i] == i) for i in sets}
 
 
@@ -60,6 +61,6 @@ def test_stage_keeps_one_of_each_group(spark):
 
 def test_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (2, "A b c d"), (None, None)], "doc_id long, text string")
-    got = [(r.id, r.component_id, r.is_kept) for r in overlap.near_duplicates(df).collect()]
+    got = [(r.id, r.component_id, r.is_kept) for r in ring.near_duplicates(df).collect()]
     assert sorted(got, key=str) == sorted([(2, 2, True), (3, 2, False), (3, 2, False), (None, 2, False), (None, None, True)], key=str)
-    assert overlap.near_duplicates(df.limit(0)).count() == 0
+    assert ring.near_duplicates(df.limit(0)).count() == 0
