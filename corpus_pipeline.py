@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontam, langid, mixing, overlap, secrets, simhash
+from pathloom.llm import decontam, langid, mixing, ring, secrets, simhash
 from pathloom.llm.shared import new_path, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that with the smallest id, of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return simhash.deduplicated(docs.select(*COLUMNS), find=overlap.near_duplicates).select(*COLUMNS)
+    return simhash.deduplicated(docs.select(*COLUMNS), find=ring.near_duplicates).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
