@@ -8,9 +8,11 @@ A text's set holds the hashes of its shingles of WIDTH words; equal sets are one
    in 0, then at most 1, then at most 2 shingles together. A segment's shingles are the bucket's key; an empty segment takes the next
    one, with at most 1 difference, as well. Sets for which D would be SEGMENTS or more deal a part of their shingles, chosen by
    hash, to SEGMENTS segments.
-2. Rounds. In each bucket that holds two components or more, the members meet one of them, the bucket's hub; a set
-   goes on with the hub whose fingerprint is nearest. A group of copies is thus linked without its pairs.
-3. Pairs of different components in a bucket that are left. Buckets of many sets are cut first, by the chain's next segment.
+2. Hubs. In each bucket that holds two components or more, the members meet one of them, the bucket's hub: first the member that
+   shares most with others, then another. A set goes on with the hub whose fingerprint is nearest. A group of copies is thus
+   linked without its pairs.
+3. Pairs of different components in a bucket that are left. Sets of large buckets, where there would be too many, meet by their rarest shingles
+   instead: in any order of all shingles, two close sets share one of the first n - m + 1 of each, m being what they must share.
 4. A pair must have a chain of segments whose fingerprint bits differ within the proportional budget, and then not more
    than BITS of all bits. What passes is verified on the whole sets.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, release, utf8, written
+from .shared import release, utf8, written
 from .simhash import marked, text_hash
 
 WIDTH = 5
@@ -34,11 +36,11 @@ WIDTH = 5
 UP, DOWN = 4, 5
 #: Segments of shingles that make keys, segments of the fingerprint, and the bits of all of those that may differ.
 SEGMENTS, RING = 16, 16
-BITS = 18 * RING
+BITS = 13 * RING
 #: A chain of so many segments is asked of a pair.
 CHAIN = 8
-#: Rounds of hubs before pairs; buckets of more sets are cut by the chain's next segment before pairs.
-ROUNDS, BUCKET_ROWS = 3, 32
+#: Rounds of hubs before pairs; sets of buckets with more rows meet by rare shingles instead of pairs.
+ROUNDS, BUCKET_ROWS = 2, 32
 #: Sets of a hub's group that one task verifies, and rows up to which a table of keys is broadcast.
 GROUP_ROWS, KEYS = 200, 250_000
 #: Texts that a worker holds the sets of at a time.
@@ -104,28 +106,25 @@ def _dealt(s: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray, int]:
     return _mixed(s + _MIX[8]), ((s >> np.uint64(24) & np.uint64(0xFFFFFFFF)) * np.uint64(m) >> np.uint64(32)).astype(np.int64), m
 
 
-def keys_of(s: np.ndarray, c: int, longer: bool = False) -> dict[int, list[int]]:
-    """Buckets of a set in class c: {key of segment k: [the keys that stand for it]}.
+def keys_of(s: np.ndarray, c: int) -> list[int]:
+    """Buckets of a set in class c: a key of each segment's shingles.
 
-    longer: each key also takes the next segment, as it is and without each one of its shingles, so sets that agree in
-    the first segment and differ in one shingle at most in the second have one of those in common.
+    An empty segment has those of the next one, as it is and without each one of its shingles: sets that agree in the
+    first and differ in one shingle at most in the second have one of those in common.
     """
     h, at, m = _dealt(s, c)
     if m == 1:  # such sets are close only if they are equal
-        return {}
+        return []
     sums, count = np.zeros(m, np.uint64), np.bincount(at, minlength=m)
     np.add.at(sums, at, h)
-    tags = _mixed(np.arange(m, dtype=np.uint64) + np.uint64(64 * c + 1) * _MIX[9])
+    tags = _mixed(np.arange(m, dtype=np.uint64) + _MIX[9] * np.arange(64 * c + 1, 64 * c + 2, dtype=np.uint64))
     first = _mixed(sums * _MIX[10] + tags)
-    out = {}
-    for k in range(m):
-        if longer or not count[k]:
-            n = (k + 1) % m
-            nexts = np.concatenate([sums[n : n + 1], sums[n] - h[at == n]])
-            out[int(first[k]) - (1 << 63)] = (_mixed(nexts * _MIX[11] + first[k : k + 1] * _MIX[12]) ^ np.uint64(1 << 63)).view(np.int64).tolist()
-        else:
-            out[int(first[k]) - (1 << 63)] = [int(first[k]) - (1 << 63)]
-    return out
+    parts = [first[count > 0]]
+    for k in np.flatnonzero(count == 0):
+        n = (k + 1) % m
+        nexts = np.concatenate([sums[n : n + 1], sums[n] - h[at == n]])
+        parts.append(_mixed(nexts * _MIX[11] + first[k : k + 1] * _MIX[12]))
+    return np.concatenate(parts).view(np.int64).tolist()
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -172,7 +171,7 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
                 seen.add(i)
                 fps.append(fingerprint(s))
                 c = size_class(len(s))
-                both = [[k for x in keys_of(s, d).values() for k in x] if len(s) else [] for d in (c, c + 1)]
+                both = [keys_of(s, d) if len(s) else [] for d in (c, c + 1)]
                 own.append(len(both[0]))
                 keys.append(np.array(both[0] + both[1], np.int64))
             arrays = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), _lists(fps), _lists(keys), pa.array(own, pa.int32())]
@@ -187,16 +186,24 @@ def _key(i: str, h: str) -> Column:
     return F.xxhash64(F.col(i), F.col(h))
 
 
-def _many(buckets: DataFrame, roots: DataFrame | None, salt: int) -> DataFrame:
-    """The rows of buckets (key, node, n, own) that hold two components or more, with root, many and a hub, which the salt chooses."""
-    if roots is None:
-        rooted = buckets.withColumn("root", F.col("node"))
-    else:
-        rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _rooted(buckets: DataFrame, roots: DataFrame | None, salt: int) -> DataFrame:
+    """The rows of buckets (key, node, n, own, weight) whose key has two components or more, with root, many and a hub.
+
+    weight: how much the set shares with others; the hub of salt 0 is the member with the most, later ones any.
+    """
+    rooted = buckets.withColumn("root", F.col("node")) if roots is None else buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by = F.xxhash64("node", F.lit(salt)) if salt else F.struct("weight", "node")
     # the sums of each task go to the shuffle, so a bucket of any size is no hot key there
-    hub = F.min_by(F.struct("node", "n", "own", "root"), F.xxhash64("node", F.lit(salt)))
-    found = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many"), hub.alias("hub")).where("low < high").select("key", "many", "hub")
-    return rooted.join(found, "key").select("key", "node", "n", "own", "root", "many", "hub")
+    found = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many"), F.max_by(F.struct("node", "n", "own", "root"), by).alias("hub"))
+    return rooted.join(found.where("low < high").select("key", "many", "hub"), "key").select("key", "node", "n", "own", "weight", "root", "many", "hub")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, n, own) whose key has two nodes or more, with the node's weight."""
+    found = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("many")).where("low < high").select("key", "many")
+    several = written(rows.join(found, "key"), "buckets")
+    release(rows.sparkSession)
+    return several.join(several.groupBy("node").agg(F.sum(F.log2("many")).alias("weight")), "node").select("key", "node", "n", "own", "weight")
 
 
 def _possible(a: str, b: str) -> Column:
@@ -266,30 +273,42 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int) ->
     return out
 
 
-def _cut(hot: DataFrame, rows: DataFrame, sets: DataFrame, width: int) -> DataFrame:
-    """Buckets (key, node, n, own, root) of large ones by the next segment of the chain."""
-    wanted = hot.groupBy("node", "root").agg(F.collect_set("key").alias("keys"))
+def _start(n: Column) -> Column:
+    """The smallest size in n's cell: 32 cells or more from each power of two to the next."""
+    by = F.greatest(F.length(F.bin(n.cast("long"))) - 6, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", n, by), by)
+
+
+def _by_rare(hot: DataFrame, rows: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b) of hot (node, root), of different roots, that share a rare shingle early enough to be close.
+
+    Shingles go from rare to frequent among the sets of hot. For each cell of sizes that the smaller one of a pair can have, a set sends as many
+    as a partner from there on calls for; a set that has many shingles to itself thus sends nothing that others have.
+    """
 
     def make():
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for t, node, root, keys in zip(utf8(b.column(0)), *(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                s = shingles(t, width)
-                if _node(s) != node:
-                    continue
-                keys = set(keys)
-                c = size_class(len(s))
-                for d in (c, c + 1):
-                    short = keys_of(s, d)
-                    for k, longer in keys_of(s, d, True).items():
-                        found = keys.intersection(short[k])
-                        # the long keys of an empty segment are what it has already
-                        out += [(x, node, len(s), d == c, root) for x in (longer if found == {k} else found)]
-            return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()))], ["key", "node", "n", "own", "root"])
+            found = [(s, n, r) for t, n, r in zip(utf8(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if _node(s := shingles(t, width)) == n]
+            return pa.RecordBatch.from_arrays([pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), _lists([f[0].view(np.int64) for f in found])], ["node", "root", "s"])
 
         return one
 
-    return _by_slice(_at(rows, sets, wanted).select("text", "node", "root", "keys"), make, "key long, node long, n int, own boolean, root long")
+    tokens = written(_by_slice(_at(rows, sets, hot).select("text", "node", "root"), make, "node long, root long, s array<long>").dropDuplicates(["node"]), "shingles")
+    each = tokens.select("node", "root", F.size("s").alias("n"), F.explode("s").alias("tok"))
+    times = each.groupBy("tok").agg(F.count("*").alias("times")).where("times > 1")
+    ordered = each.join(times, "tok", "left").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "tok"))).alias("s"))
+    least = lambda n: F.ceil(n * UP / DOWN).cast("int")
+    starts = F.array_distinct(F.transform(F.sequence(least(F.col("n")), F.col("n")), _start))
+    cells = ordered.select("node", "root", "n", "s", F.explode(starts).alias("cell"))
+    must = F.ceil((F.col("n") + F.greatest("cell", least(F.col("n")))) * UP / (UP + DOWN)).cast("int")
+    sent = cells.select("node", "root", "n", "cell", F.posexplode(F.slice("s", 1, F.col("n") - must + 1)).alias("at", "of")).where("of.times > 1").select("node", "root", "n", "cell", "at", F.col("of.tok").alias("tok"))
+    sent = written(sent, "rare")
+    ends = sent.groupBy("cell", "tok").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell", "tok")
+    some = sent.join(ends, ["cell", "tok"])
+    x, y = (some.select("cell", "tok", *(F.col(c).alias(f"{p}{c}") for c in ("node", "root", "n", "at"))) for p in ("a_", "b_"))
+    shared = 1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1
+    close = (F.col("a_root") != F.col("b_root")) & (F.col("cell") == _start(F.least("a_n", "b_n"))) & ((UP + DOWN) * shared >= UP * (F.col("a_n") + F.col("b_n")))
+    return x.join(y, ["cell", "tok"]).where((F.col("a_node") < F.col("b_node")) & close).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -307,32 +326,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(_sets(rows, width), "sets")
     light = written(sets.where(F.size("fp") > 0).select("node", "fp").dropDuplicates(["node"]), "light")
     n = light.count()
-    buckets = sets.select("node", "n", "own", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", (F.col("at") < F.col("own")).alias("own")).distinct()
-    links, roots = None, None
+    keyed = sets.select("node", "n", "own", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", (F.col("at") < F.col("own")).alias("own")).distinct()
+    buckets, links, roots = _shared(keyed), None, None
     for salt in range(ROUNDS):
-        many = written(_many(buckets, roots, salt), "buckets")
+        buckets = written(_rooted(buckets, roots, salt), "buckets")
         release(spark)
-        if salt:
-            discard(buckets)
-        buckets = many.select("key", "node", "n", "own")
-        buckets.written_path = many.written_path
-        met = many.select("node", "n", "own", "root", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "own", "root"))).where(_possible("", "hub_"))
+        met = buckets.select("node", "n", "own", "root", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "own", "root"))).where(_possible("", "hub_"))
         near = _near(met.select(F.col("hub_node").alias("a"), F.col("node").alias("b")), light)
-        best = near.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b")
-        close = _verified(best, rows, sets, width)
-        if close.isEmpty():
-            break
+        close = _verified(near.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"), rows, sets, width)
+        buckets = buckets.select("key", "node", "n", "own", "weight")
         links = close if links is None else links.unionAll(close)
         roots = written(components(links), "roots", n)
-    many = written(_many(buckets, roots, ROUNDS), "buckets")
-    few, hot = many.where(F.col("many") <= BUCKET_ROWS), many.where(F.col("many") > BUCKET_ROWS)
-    rest = few.select("key", "node", "n", "own", "root")
-    if not hot.isEmpty():
-        cut = written(_cut(hot.select("key", "node", "root"), rows, sets, width), "buckets")
-        ends = cut.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        rest = rest.unionAll(cut.join(ends, "key", "left_semi"))
-    x, y = (rest.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("node", "n", "own", "root"))) for p in ("a_", "b_"))
+    left = written(_rooted(buckets, roots, ROUNDS), "buckets")
+    few = left.where(F.col("many") <= BUCKET_ROWS)
+    x, y = (few.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("node", "n", "own", "root"))) for p in ("a_", "b_"))
     pairs = x.join(y, "key").where((F.col("a_node") < F.col("b_node")) & _possible("a_", "b_")).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    hot = left.where(F.col("many") > BUCKET_ROWS).select("node", "root").distinct()
+    if not hot.isEmpty():
+        pairs = pairs.unionAll(_by_rare(hot, rows, sets, width))
     last = _verified(_near(pairs, light).select("a", "b"), rows, sets, width)
     release(spark)
     links = last if links is None else links.unionAll(last)
