@@ -14,8 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The mean rate over which a target is refused unless the caller says otherwise; the registered queries take any.
-MOST_RATE = 500.0
+from .shared import written
+
 #: Up to this mean one table serves: exp(-rate) is a normal double. Beyond, a draw has a mean of DRAW_RATE at most.
 ONE_TABLE, DRAW_RATE = 700.0, 500.0
 #: A row's copies are made in blocks of so many, so that no array grows with their number.
@@ -41,25 +41,26 @@ def cumulative(rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["c"])).otherwise(F.array().cast("array<double>"))
 
 
-def rates(docs: DataFrame, weights: dict[str, float], source_col: str = "source", rest: float = 0.0, most_rate: float = MOST_RATE) -> DataFrame:
+def rates(docs: DataFrame, weights: dict[str, float], source_col: str = "source", rest: float = 0.0, most_rate: float = math.inf) -> DataFrame:
     """(source, n, rate, draws, c) for each source of docs. A source (null is one too) that weights lacks has the weight rest.
 
     Weights are relative: they are scaled so that those of the sources present sum to 1. c is the table of one of the
-    source's draws. A rate over most_rate is an error.
+    source's draws. A rate over most_rate, if one is given, is an error.
     """
     if any(not (w >= 0 and math.isfinite(w)) for w in [*weights.values(), rest]):
         raise ValueError("weights must be finite and not negative")
     named = F.element_at(F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v))))), F.col("source")) if weights else F.lit(None).cast("double")
-    counts = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n")).withColumn("w", F.coalesce(F.when(F.col("source").isNotNull(), named), F.lit(float(rest))))
-    total = counts.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
+    counts = written(docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n")), "sources").withColumn("w", F.coalesce(F.when(F.col("source").isNotNull(), named), F.lit(float(rest))))
+    total = counts.agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("sources")).first()
     rate = F.col("w") / F.lit(total.w) * F.lit(total.n) / F.col("n") if total.w else F.lit(0.0)
     draws = F.when(F.col("rate") > ONE_TABLE, F.ceil(F.col("rate") / DRAW_RATE)).otherwise(1).cast("int")
     out = counts.withColumn("rate", rate).withColumn("draws", draws)
     refused = F.raise_error(F.concat(F.lit("mean repetition rate over the limit: "), F.col("rate").cast("string")))
-    return out.select("source", "n", "rate", "draws", F.when(F.col("rate") > most_rate, refused).otherwise(cumulative(F.col("rate") / F.col("draws"))).alias("c"))
+    out = out.select("source", "n", "rate", "draws", F.when(F.col("rate") > most_rate, refused).otherwise(cumulative(F.col("rate") / F.col("draws"))).alias("c"))
+    return F.broadcast(out) if total.sources <= BROADCAST_SOURCES else out
 
 
-def mix(docs: DataFrame, weights: dict[str, float], seed: int = 42, id_col: str = "doc_id", source_col: str = "source", rest: float = 0.0, partitions: int | None = None, most_rate: float = MOST_RATE) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float], seed: int = 42, id_col: str = "doc_id", source_col: str = "source", rest: float = 0.0, partitions: int | None = None, most_rate: float = math.inf) -> DataFrame:
     """docs' columns and copy (from 1), shuffle_key: each row as often as its Poisson count says, in shuffled order.
 
     Rows with the same id have the same count and keys; a null id hashes as the empty text. Sources without weight and
@@ -67,8 +68,6 @@ def mix(docs: DataFrame, weights: dict[str, float], seed: int = 42, id_col: str
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "shuffle_key"))).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(source_col).cast("string").alias("source"))
     table = rates(docs, weights, source_col, rest, most_rate).select(F.col("source").alias("named"), "draws", "c")
-    if docs.select(F.col(source_col).cast("string")).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
     several = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: uniform(F.concat_ws(":", "key", F.lit("draw"), j.cast("string")), seed))
     us = F.when(F.col("draws") == 1, F.array(uniform(F.col("key"), seed))).otherwise(several)
     counted = rows.join(table, F.col("source").eqNullSafe(F.col("named"))).withColumn("us", us)

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import before_each, let, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -46,6 +48,8 @@ RULES = (
 BASE = ("assign", "access", "hex")
 #: Characters that mark matches; those of a text are replaced first, which moves nothing and touches no match.
 _EDGE, _MIDDLE, _OTHER = "\x01", "\x02", "\x03"
+#: Up to so many blobs that the ledger lacks, their ids are broadcast; beyond, the join is a shuffle.
+BROADCAST_BLOBS = 250_000
 _SPANS = "array<struct<start:bigint,stop:bigint>>"
 
 
@@ -54,18 +58,23 @@ def spans(text: Column, rule: Rule) -> Column:
     marked = F.regexp_replace(F.translate(text, _EDGE + _MIDDLE, _OTHER * 2), F.lit(rule.pattern), F.lit(f"{_EDGE}$1{_MIDDLE}$2{_EDGE}"))
     parts = F.transform(F.split(marked, _EDGE), lambda p: F.struct((F.length(p) - F.instr(p, _MIDDLE).cast("boolean").cast("int")).cast("long").alias("n"), F.instr(p, _MIDDLE).cast("long").alias("mid")))
     measured = {0: lambda p: p["n"], 2: lambda p: p["n"] - p["mid"] + 1}[rule.measured]
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("found"))
 
-    def step(acc: Column, p: Column) -> Column:
-        good = (p["mid"] > 0) & (measured(p) >= rule.least)
-        return F.struct((acc["at"] + p["n"]).alias("at"), F.when(good, F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + p["n"]).alias("stop"))))).otherwise(acc["found"]).alias("found"))
+    def found(ps: Column) -> Column:
+        starts = before_each(F.transform(ps, lambda p: p["n"]), lambda a, n: a + n)
+        placed = F.zip_with(ps, starts, lambda p, at: F.when((p["mid"] > 0) & (measured(p) >= rule.least), F.struct(at.alias("start"), (at + p["n"]).alias("stop"))))
+        return F.array_compact(placed)
+
+    return F.when(F.rlike(text, F.lit(rule.pattern)), let(parts, found)).otherwise(F.array().cast(_SPANS))
+
 
-    return F.when(F.rlike(text, F.lit(rule.pattern)), F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(_SPANS))
+def address(text_col: str) -> Column:
+    """The address of a text; a null one has that of the empty one."""
+    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
 
 
 def addressed(docs: DataFrame, path_cols: list[str], text_col: str = "text") -> DataFrame:
-    """(*path_cols, blob): a null text has the address of the empty one."""
-    return docs.select(*path_cols, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("blob"))
+    """(*path_cols, blob)."""
+    return docs.select(*path_cols, address(text_col).alias("blob"))
 
 
 def scan(docs: DataFrame, text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -78,13 +87,17 @@ def scan(docs: DataFrame, text_col: str = "text", ledger: DataFrame | None = Non
     blobs = docs.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
     known = F.array().cast("array<string>")
     names = [f"{r.kind}@{r.version}" for r in rules]
-    if ledger is not None:
-        done = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("known"))
-        blobs = blobs.join(done.where(F.size(F.array_intersect("known", F.array(*map(F.lit, names)))) == len(names)).select("blob"), "blob", "left_anti")
-        blobs = blobs.dropDuplicates(["blob"]).join(done, "blob", "left")
-        known = F.coalesce("known", known)
-    else:
+    if ledger is None:
         blobs = blobs.dropDuplicates(["blob"])
+    else:
+        pair = F.concat_ws("@", "rule", "version")
+        done = ledger.where(pair.isin(names)).groupBy("blob").agg(F.collect_set(pair).alias("known"))
+        # ids of blobs first: texts that are wholly known never leave their task
+        lacking = blobs.select("blob").distinct().join(done, "blob", "left").where(F.coalesce(F.size("known"), F.lit(0)) < len(names))
+        lacking = written(lacking, "lacking")
+        near = F.broadcast(lacking) if lacking.count() <= BROADCAST_BLOBS else lacking
+        blobs = blobs.join(near.select("blob"), "blob", "left_semi").dropDuplicates(["blob"]).join(lacking, "blob")
+        known = F.coalesce("known", known)
     rows = [F.when(~F.array_contains(known, n), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans"))) for r, n in zip(rules, names, strict=True)]
     return blobs.select("blob", F.explode(F.array_compact(F.array(*rows))).alias("row")).select("blob", "row.*")
 
@@ -103,10 +116,14 @@ def findings(docs: DataFrame, ledger: DataFrame, path_cols: list[str], text_col:
     """(*path_cols, blob, found) for each row of docs: found has (start, n, stop, kind) by start, then by the rules' order (n)."""
     numbers = F.create_map(*(x for n, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(n))))
     versions = reduce(lambda a, b: a | b, ((F.col("rule") == r.kind) & (F.col("version") == r.version) for r in rules), F.lit(False))
-    rows = ledger.where(versions & (F.size("spans") > 0)).dropDuplicates(["blob", "rule"]).select("blob", F.explode(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.element_at(numbers, F.col("rule")).alias("n"), s["stop"].alias("stop"), F.col("rule").alias("kind")))).alias("s"))
-    by_blob = rows.groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("found"))
+    span = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.element_at(numbers, F.col("rule")).alias("n"), s["stop"].alias("stop"), F.col("rule").alias("kind")))
+    rows = ledger.where(versions & (F.size("spans") > 0)).dropDuplicates(["blob", "rule"]).select("blob", span.alias("some"))
+    by_blob = rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("some"))).alias("found"))
     empty = F.array().cast("array<struct<start:bigint,n:int,stop:bigint,kind:string>>")
-    return addressed(docs, path_cols, text_col).join(by_blob, "blob", "left").select(*path_cols, "blob", F.coalesce("found", empty).alias("found"))
+    # in a struct, path columns may have any names
+    paths = docs.select(F.struct(*(F.col(f"`{c}`") for c in path_cols)).alias("path"), address(text_col).alias("blob"))
+    out = paths.join(by_blob, "blob", "left").withColumn("found", F.coalesce("found", empty))
+    return out.select("path.*", *(c for c in ("blob", "found") if c not in path_cols))
 
 
 def shown(found: Column) -> Column:
@@ -115,12 +132,18 @@ def shown(found: Column) -> Column:
 
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """text with each span of found, overlaps as one, replaced by mark."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    """text with each span of found (by start), overlaps as one, replaced by mark. Without spans the text stays as it is.
+
+    Pieces are cut out of four bytes for each code point, where a place is found without reading what stands before it.
+    """
+    wide = F.encode(text, "UTF-32")
+    # a byte order mark in front, so that one in the text isn't taken for it
+    piece = lambda w, a, b: F.decode(F.concat(F.lit(bytearray(b"\0\0\xfe\xff")), F.substring(w, (4 * a + 1).cast("int"), (4 * (b - a)).cast("int"))), "UTF-32")
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.when(new, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
+    def cut(w: Column, spans: Column) -> Column:
+        ends = before_each(F.transform(spans, lambda s: s["stop"]), lambda a, b: F.greatest(a, b))
+        pieces = F.array_compact(F.zip_with(spans, ends, lambda s, at: F.when(s["start"] >= at, piece(w, at, s["start"]))))
+        last = F.array_max(F.transform(spans, lambda s: s["stop"]))
+        return F.array_join(F.concat(pieces, F.array(piece(w, last, F.floor(F.octet_length(w) / 4)))), mark)
 
-    return F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    return F.when(F.size(found) > 0, let(wide, lambda w: let(found, lambda spans: cut(w, spans)))).otherwise(text)

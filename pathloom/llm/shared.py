@@ -6,11 +6,15 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.scratch import discard, new_path, shared_dir, written
 
-__all__ = ["by_batch", "discard", "new_path", "release", "shared_dir", "utf8", "written"]
+__all__ = ["before_each", "by_batch", "discard", "let", "new_path", "release", "shared_dir", "utf8", "written"]
+
+#: Elements of an array that before_each() takes at a time.
+_BLOCK = 256
 
 
 def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
@@ -38,3 +42,30 @@ def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that are done."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def before_each(numbers: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of longs, merge() over 0 and the elements before it.
+
+    Spark grows an array by copying it, so the array goes in blocks: the cost is linear but for a copy for each block.
+    merge() is associative, as + and greatest are.
+    """
+    state = "struct<now:bigint,out:array<bigint>>"
+
+    def scan(xs: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("now"), F.array().cast("array<bigint>").alias("out")).cast(state)
+        step = lambda a, x: F.struct(merge(a["now"], x).alias("now"), F.concat(a["out"], F.array(a["now"])).alias("out"))
+        return F.aggregate(xs, zero, step, lambda a: a["out"])
+
+    def whole(xs: Column) -> Column:
+        count = F.floor((F.size(xs) + _BLOCK - 1) / _BLOCK).cast("int")
+        at = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        blocks = F.transform(at, lambda k: F.slice(xs, k * _BLOCK + 1, _BLOCK))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, scan(F.transform(b, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), merge)), F.lit(0).cast("bigint")), scan)))
+
+    return let(numbers, whole)

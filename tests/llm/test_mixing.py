@@ -49,7 +49,7 @@ def test_large_rates_and_the_shuffle_join(spark, monkeypatch):
     got = Counter(r.doc_id for r in mixing.mix(df, {"y": 0.9, "x": 0.1}, seed=1).collect())
     assert got[0] == count(0, 0.9 * 200, 1) > 100
     with pytest.raises(Exception, match="rate over the limit"):
-        mixing.mix(df.unionAll(df.where("source = 'x'")).unionAll(df.where("source = 'x'")).unionAll(df.where("source = 'x'")), {"y": 1.0}).collect()
+        mixing.mix(df.unionAll(df.where("source = 'x'")).unionAll(df.where("source = 'x'")).unionAll(df.where("source = 'x'")), {"y": 1.0}, most_rate=500.0).collect()
 
 
 def test_empty_tables_and_refusals(spark):

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from test_decontam import brute as brute_decontam
 from test_langid import slow_predict, slow_profile
 from test_mixing import count
+from test_ring import close, slow_set
 from test_secrets import brute as brute_secrets
-from test_simhash import slow_fingerprint
+from test_simhash import slow_components
 
 from pathloom.llm import langid
 
@@ -29,23 +30,9 @@ def expected(rows, items):
     langs = {r[2] for r in rows if r[2] is not None and r[1] is not None}
     profiles = {g: slow_profile([r[1] for r in rows if r[2] == g and r[1] is not None], langid.PROFILE) for g in langs}
     kept = [r for r in rows if (p := slow_predict(r[1], profiles, langid.PROFILE))[0] != "und" and p[1] >= pipeline.LEAST_LANGUAGE_SCORE]
-    fps = {r[0]: slow_fingerprint(r[1]) for r in kept}
-    distinct = sorted(set(fps.values()))
-    root = {f: f for f in distinct}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, a in enumerate(distinct):
-        for b in distinct[i + 1 :]:
-            if (a ^ b).bit_count() <= 2:
-                root[find(a)] = find(b)
-    least = {}
-    for i, f in fps.items():
-        least[find(f)] = min(i, least.get(find(f), i))
-    kept = [r for r in kept if least[find(fps[r[0]])] == r[0]]
+    sets = {r[0]: slow_set(r[1]) for r in kept}
+    least = slow_components(list(sets), lambda a, b: close(sets[a], sets[b]))
+    kept = [r for r in kept if least[r[0]] == r[0]]
     clean = {i for i, _, hit, _ in brute_decontam([(r[0], r[1]) for r in kept], items) if not hit}
     kept = [r for r in kept if r[0] in clean]
     kept = [(i, t, *r[2:4], len(t) if t != r[1] else r[4]) for r in kept for i, t in [(r[0], redacted(r[1]))]]
