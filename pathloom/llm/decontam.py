@@ -8,7 +8,6 @@ the window must fit between the document's ends. Then the words are compared.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -20,8 +19,9 @@ from .shared import by_batch, utf8, written
 
 WINDOW = 10
 SHINGLE = 3
-#: Words of items that go to the tasks at once. A larger benchmark is taken in blocks, each against all documents.
-BLOCK_WORDS = 500_000
+#: Words of distinct windows that go to the tasks at once, and their bytes. A larger benchmark is taken in blocks, each against all documents.
+BLOCK_WORDS = 5_000_000
+BLOCK_BYTES = 32 << 20
 _KEPT = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 #: Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z.
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _KEPT else 0x20 for c in range(256))
@@ -35,14 +35,20 @@ def _shingles(words: list[bytes], width: int = SHINGLE) -> list[bytes]:
     return [b" ".join(s) for s in zip(*(words[k:] for k in range(width)), strict=False)]
 
 
-def windows_of(items: list[tuple[object, str | None]], window: int = WINDOW) -> dict[tuple[bytes, ...], set]:
-    """The distinct windows of items and the ids that have each."""
-    out: dict[tuple[bytes, ...], set] = defaultdict(set)
-    for item, text in items:
-        w = words_of(text.encode() if text is not None else None)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            out[tuple(w[i : i + window])].add(item)
-    return out
+def windows_of(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(w, items): the distinct windows of all items, words joined by blanks, and the ids that have each. Null ids are ''."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(item_text_col).cast("string").alias("t"))
+
+    def run(batches):
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+                w = words_of(t)
+                starts = range(max(1, len(w) - window + 1) if w else 0)
+                for k in range(0, len(starts), 50_000):
+                    part = [b" ".join(w[j : j + window]) for j in starts[k : k + 50_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(part), pa.string()), pa.array(part, pa.binary())], ["i", "w"])
+
+    return items.mapInArrow(run, "i string, w binary").groupBy("w").agg(F.sort_array(F.collect_set("i")).alias("items"))
 
 
 def _width(window: tuple) -> int:
@@ -96,32 +102,51 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(*keep, id, n_words, n_hit, items, spans) for each row of docs.
 
     items: the item ids (as strings, sorted) with a window in the document; spans: (start, end) word ranges that
-    occurrences cover, merged. Items are read in blocks of about block_words words by their hash, so a benchmark of any size keeps the
-    broadcast bounded; with more than one block each block is a pass over all documents, joined by the row's id
-    and summed. Null or empty texts have no words; null item ids count as the item ''. Repeated rows stay.
+    occurrences cover, merged. Windows of all items are taken in blocks by their hash, of about block_words words and BLOCK_BYTES bytes, so the broadcast
+    of a benchmark of any size, or with items of any size, stays bounded; with more than one block each block is a pass over all documents,
+    joined by the row's number. Null or empty texts have no words; null item ids count as the item ''. Repeated rows stay; texts of
+    any length are read whole, a text's matches cost time in proportion to their number.
     """
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(item_text_col).cast("string").alias("t"))
-    total = items.agg(F.sum(F.coalesce(F.size(F.split("t", r"\s+")), F.lit(0)) + 1)).first()[0] or 0
-    blocks = -(-total // block_words) or 1
+    windows = written(windows_of(benchmark, item_col, item_text_col, window), "windows")
+    size = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("w") + F.aggregate("items", F.lit(0), lambda a, i: a + F.octet_length(i))), F.lit(0)).alias("bytes")).first()
+    blocks = max(-(-size.n * window // block_words), -(-size.bytes // BLOCK_BYTES), 1)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    kept = [f"keep_{c}" for c in keep]
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, hits array<struct<start:long,stop:long>>, items array<string>" + "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
     if blocks > 1:
         rows = written(rows.withColumn("n", F.monotonically_increasing_id()), "documents")
-        schema += ", n long"
+    kept = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns[2:])
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, spans {_SPANS}, items array<string>{kept}"
     out = None
     for k in range(blocks):  # the driver holds one block at a time
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
-        part = _matched(rows, windows_of([tuple(r) for r in block.collect()], window), schema)
+        block = windows.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == k) if blocks > 1 else windows
+        part = _matched(rows, {tuple(bytes(r.w).split(b" ")): r["items"] for r in block.collect()}, schema)
         out = part if out is None else out.unionAll(part)
     if blocks > 1:
-        out = out.groupBy("n").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"), *(F.first(c).alias(c) for c in kept))
-    out = out.select(*kept, "id", "n_words", F.array_sort("hits").alias("hits"), F.array_sort(F.array_distinct("items")).alias("items"))
-    merge = """aggregate(hits, cast(array() as array<struct<start:bigint,stop:bigint>>), (a, h) ->
-        if(size(a) > 0 and a[size(a) - 1].stop >= h.start, concat(slice(a, 1, size(a) - 1),
-        array(struct(a[size(a) - 1].start as start, greatest(a[size(a) - 1].stop, h.stop) as stop))), concat(a, array(h))))"""
-    out = out.withColumn("spans", F.expr(merge))
-    return out.select(*(F.col(c).alias(c[5:]) for c in kept), "id", "n_words", F.expr("aggregate(spans, 0L, (a, s) -> a + s.stop - s.start)").alias("n_hit"), "items", "spans")
+        same = [F.first(c).alias(c) for c in ("id", "n_words", *rows.columns[2:-1])]
+        out = out.groupBy("n").agg(*same, F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = by_batch(out.select("id", "n_words", "spans", "items", *rows.columns[2:-1]), _merged, schema.removesuffix(", `n` bigint"))
+    return out.select(*(F.col(f"keep_{c}").alias(c) for c in keep), "id", "n_words", F.expr("aggregate(spans, 0L, (a, s) -> a + s.stop - s.start)").alias("n_hit"), "items", "spans")
+
+
+_SPANS = "array<struct<start:long,stop:long>>"
+_SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+
+def _merged():
+    """The batches with spans that overlap or touch made one."""
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for spans in b.column(2).to_pylist():
+            row: list[dict] = []
+            for s in sorted(spans, key=lambda s: (s["start"], s["stop"])):
+                if row and s["start"] <= row[-1]["stop"]:
+                    row[-1]["stop"] = max(row[-1]["stop"], s["stop"])
+                else:
+                    row.append(s)
+            out.append(row)
+        return pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out, _SPANS_ARROW), *b.columns[3:]], b.schema.names)
+
+    return one
 
 
 def _matched(rows: DataFrame, windows, schema: str) -> DataFrame:
@@ -129,7 +154,7 @@ def _matched(rows: DataFrame, windows, schema: str) -> DataFrame:
     counts = rarity(rows, every, "text")
     index = prefix_index(windows, counts)
     widths = sorted({_width(w) for w in windows})
-    shared = rows.sparkSession.sparkContext.broadcast((index, dict(windows), widths))
+    shared = rows.sparkSession.sparkContext.broadcast((index, windows, widths))
     kept = rows.columns[2:]
 
     def make():
@@ -147,12 +172,8 @@ def _matched(rows: DataFrame, windows, schema: str) -> DataFrame:
                     covered[s : s + len(w)] = 1
                 edge = np.flatnonzero(np.diff(covered, prepend=0))
                 hits.append([{"start": int(s), "stop": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(found, pa.list_(pa.string())), *b.columns[2:]], ["id", "n_words", "hits", "items", *kept])
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hits, _SPANS_ARROW), pa.array(found, pa.list_(pa.string())), *b.columns[2:]], ["id", "n_words", "spans", "items", *kept])
 
         return one
 
     return by_batch(rows, make, schema)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

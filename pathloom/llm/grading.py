@@ -11,14 +11,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_batch, utf8
+from .shared import by_batch, utf8, written
 
 BUCKETS = 1 << 18
 #: Rows by which the model is fitted: at most so many of each grade, the first by a hash of the id.
 ROWS_A_GRADE = 4000
+#: Different grades that ratings may have.
+MOST_GRADES = 100
 #: Share of top-graded rows whose tail probability may lie under the selection's threshold.
 LOST_GOOD = 0.01
 _TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^\x20\x09-\x0DA-Za-z0-9\x80-\xff]+")
@@ -141,21 +143,34 @@ def grade(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     """(id, expected_grade, tail_probability, kept) for each row of docs.
 
     tail_probability: of the highest grade. kept: it reaches a threshold that LOST_GOOD of the top-graded rows held back
-    from fitting (every fifth) miss, at most 0.5. ratings: (id, integer grade), at most `rows` of each grade are used; rows with a null
-    are none, and of repeated ratings for an id the least counts. With fewer than two grades rated every row is kept
-    with tail_probability 1. Null texts count as empty. Repeated rows stay; an empty table gives an empty one.
+    from fitting (every fifth) miss, at most 0.5. ratings: (id, integer grade) with MOST_GRADES grades at most, of each of which `rows`
+    are used, those whose ids hash lowest (the cut leaves half as many again or more to choose from). What comes to the driver is the hashed
+    features of those rows, at most `buckets` numbers each, however long the texts. Rows with a null
+    are no ratings, of repeated ratings for an id the least counts, of an id's texts the one that hashes lowest. With fewer than two grades rated every row is kept
+    with tail_probability 1. Null texts count as empty; texts of any length are read whole.
+    Ties in the hash go by id. Repeated rows stay; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rated = ratings.select(F.col(rating_id).alias("id"), F.col(rating_col).cast("int").alias("grade")).dropna().groupBy("id").agg(F.min("grade").alias("grade"))
-    first = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64(F.col("id").cast("string")), "id"))
-    sample = rated.withColumn("n", first).where(F.col("n") <= rows).select("id", "grade")
-    found = _features(text.join(F.broadcast(sample), "id"), buckets).toArrow()
+    rated = written(rated.withColumn("h", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30))), "rated")
+    counts = {r.grade: r.n for r in rated.groupBy("grade").agg(F.count("*").alias("n")).limit(MOST_GRADES + 1).collect()}
+    if len(counts) > MOST_GRADES:
+        raise ValueError(f"ratings have more than {MOST_GRADES} grades")
+    sample = None
+    for g in sorted(counts):  # a cut of the hashes first, so that tasks send about as many rows as are taken
+        share = min(1.0, 1.5 * (rows + 50) / counts[g])
+        part = rated.where((F.col("grade") == g) & (F.col("h") < int(share * (1 << 30)))).orderBy("h", "id").limit(rows).select("id", "grade")
+        sample = part if sample is None else sample.unionAll(part)
+    if sample is None:
+        sample = rated.select("id", "grade")
+    one = text.join(F.broadcast(sample), "id").groupBy("id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = _features(one, buckets).toArrow()
     x = [np.asarray(v.values) if v.is_valid else np.zeros(0, np.int32) for v in found["x"]]
     y = np.array(found["grade"].to_pylist(), np.int64)
     order = sorted(range(len(x)), key=lambda i: (zlib.crc32(x[i].tobytes()), y[i]))  # whatever order the tasks end in
     x, y = [x[i] for i in order], y[order]
-    back = np.arange(len(y)) % 5 == 0
+    back = (np.arange(len(y)) % 5 == 0) & (len(y) > 1)
     model = Ordinal.fit([r for r, b in zip(x, back, strict=True) if not b], y[~back], buckets)
     cut = 0.0
     if len(model.cuts):
