@@ -5,14 +5,16 @@ A text's set holds the hashes of its shingles of WIDTH words; equal sets are one
 
 1. Keys. Two sets of similarity 4/5 whose sizes are under s differ in D = 2(s - 1)/9 shingles at most. Dealt to D + 1 segments,
    they agree in one whole segment: the start of a chain in which, by the pigeonring principle, the segments differ
-   in 0, then at most 1, then at most 2 shingles together. A segment's shingles are the bucket's key; an empty segment takes the next
-   one, with at most 1 difference, as well. Sets for which D would be SEGMENTS or more deal a part of their shingles, chosen by
-   hash, to SEGMENTS segments.
+   in 0, then at most 1, then at most 2 shingles together. A segment's shingles are a key. Sets for which D would be SEGMENTS or more
+   deal a part of their shingles, chosen by hash, to SEGMENTS segments. Sets that share a key then meet by the chain's first two
+   segments: the first as it is, the second with at most 1 difference. What has only a common passage in the first falls apart there.
 2. Hubs. In each bucket that holds two components or more, the members meet one of them, the bucket's hub: first the member that
    shares most with others, then another. A set goes on with the hub whose fingerprint is nearest. A group of copies is thus
    linked without its pairs.
-3. Pairs of different components in a bucket that are left. Sets of large buckets, where there would be too many, meet by their rarest shingles
-   instead: in any order of all shingles, two close sets share one of the first n - m + 1 of each, m being what they must share.
+3. Sets in buckets that still hold two components or more: in buckets of up to PAIR_ROWS rows as pairs, else by their rarest
+   shingles. In any order of all shingles, two close sets share one of the first n - m + 1 of each, m being what they must share. With the
+   shingles that the fewest of them have first, a set that has many to itself meets nobody, where pairs within the
+   buckets would be of the square of a group's size.
 4. A pair must have a chain of segments whose fingerprint bits differ within the proportional budget, and then not more
    than BITS of all bits. What passes is verified on the whole sets.
 """
@@ -39,8 +41,10 @@ SEGMENTS, RING = 16, 16
 BITS = 13 * RING
 #: A chain of so many segments is asked of a pair.
 CHAIN = 8
-#: Rounds of hubs before pairs; sets of buckets with more rows meet by rare shingles instead of pairs.
-ROUNDS, BUCKET_ROWS = 2, 32
+#: Of larger sets' shingles so many that differ are dealt, on average, at a similarity of just 4/5.
+DEALT = 12
+#: Rounds of hubs; buckets of so many rows are taken as pairs after them.
+ROUNDS, PAIR_ROWS = 2, 6
 #: Sets of a hub's group that one task verifies, and rows up to which a table of keys is broadcast.
 GROUP_ROWS, KEYS = 200, 250_000
 #: Texts that a worker holds the sets of at a time.
@@ -101,16 +105,16 @@ def _dealt(s: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(hashes, segments, number of segments) of the shingles that class c looks at, for sets of up to the class's sizes."""
     differ = 2 * (int(_STARTS[c + 1]) - 1) // (UP + DOWN)
     if differ >= SEGMENTS:
-        s = s[(s & np.uint64(0xFFFFFF)) < np.uint64((SEGMENTS << 24) // (differ + 1))]
+        s = s[(s & np.uint64(0xFFFFFF)) < np.uint64((DEALT << 24) // (differ + 1))]
     m = min(SEGMENTS, differ + 1)
     return _mixed(s + _MIX[8]), ((s >> np.uint64(24) & np.uint64(0xFFFFFFFF)) * np.uint64(m) >> np.uint64(32)).astype(np.int64), m
 
 
-def keys_of(s: np.ndarray, c: int) -> list[int]:
-    """Buckets of a set in class c: a key of each segment's shingles.
+def keys_of(s: np.ndarray, c: int, shared: set[int] | None = None) -> list[int]:
+    """Buckets of a set in class c: a key of each segment's shingles; with `shared`, keys of the chains that start with one of those.
 
-    An empty segment has those of the next one, as it is and without each one of its shingles: sets that agree in the
-    first and differ in one shingle at most in the second have one of those in common.
+    A chain's keys have the first segment and the second, as it is and without each one of its shingles: sets that agree in the
+    first and differ in one shingle at most in the second have one of those in common. An empty segment has its chain's keys at once.
     """
     h, at, m = _dealt(s, c)
     if m == 1:  # such sets are close only if they are equal
@@ -118,13 +122,17 @@ def keys_of(s: np.ndarray, c: int) -> list[int]:
     sums, count = np.zeros(m, np.uint64), np.bincount(at, minlength=m)
     np.add.at(sums, at, h)
     tags = _mixed(np.arange(m, dtype=np.uint64) + _MIX[9] * np.arange(64 * c + 1, 64 * c + 2, dtype=np.uint64))
-    first = _mixed(sums * _MIX[10] + tags)
-    parts = [first[count > 0]]
-    for k in np.flatnonzero(count == 0):
+    first = _mixed(sums * _MIX[10] + tags).view(np.int64)
+    out = []
+    for k in range(m):
+        if count[k] and (shared is None or int(first[k]) not in shared):
+            out += [int(first[k])] if shared is None else []
+            continue
         n = (k + 1) % m
         nexts = np.concatenate([sums[n : n + 1], sums[n] - h[at == n]])
-        parts.append(_mixed(nexts * _MIX[11] + first[k : k + 1] * _MIX[12]))
-    return np.concatenate(parts).view(np.int64).tolist()
+        chain = _mixed(nexts * _MIX[11] + first[k : k + 1].view(np.uint64) * _MIX[12]).view(np.int64).tolist()
+        out += chain if shared is None or count[k] else shared.intersection(chain)
+    return out
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -187,7 +195,7 @@ def _key(i: str, h: str) -> Column:
 
 
 def _rooted(buckets: DataFrame, roots: DataFrame | None, salt: int) -> DataFrame:
-    """The rows of buckets (key, node, n, own, weight) whose key has two components or more, with root, many and a hub.
+    """The rows of buckets (key, node, n, own, weight) whose key has two components or more, with root, the key's rows (many) and a hub.
 
     weight: how much the set shares with others; the hub of salt 0 is the member with the most, later ones any.
     """
@@ -199,11 +207,34 @@ def _rooted(buckets: DataFrame, roots: DataFrame | None, salt: int) -> DataFrame
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows (key, node, n, own) whose key has two nodes or more, with the node's weight."""
+    """The rows (key, node, n, own) whose key has two nodes or more, and that key's rows (many)."""
     found = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("many")).where("low < high").select("key", "many")
-    several = written(rows.join(found, "key"), "buckets")
+    out = written(rows.join(found, "key").select("key", "node", "n", "own", "many"), "shared")
     release(rows.sparkSession)
-    return several.join(several.groupBy("node").agg(F.sum(F.log2("many")).alias("weight")), "node").select("key", "node", "n", "own", "weight")
+    return out
+
+
+def _chains(shared: DataFrame, rows: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """(key, node, n, own) of the chains that start in the shared keys (key, node)."""
+
+    def make():
+        def one(b: pa.RecordBatch) -> pa.RecordBatch:
+            out = [np.zeros((4, 0), np.int64)]
+            for t, node, keys in zip(utf8(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                s, keys = shingles(t, width), set(keys)
+                if _node(s) != node:  # another row with the same key
+                    continue
+                c = size_class(len(s))
+                for d in (c, c + 1):
+                    found = np.array(keys_of(s, d, keys), np.int64)
+                    out.append(np.stack([found, np.full(len(found), node), np.full(len(found), len(s)), np.full(len(found), d == c)]))
+            key, node, n, own = np.concatenate(out, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(n.astype(np.int32)), pa.array(own.astype(bool))], ["key", "node", "n", "own"])
+
+        return one
+
+    wanted = shared.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    return _by_slice(_at(rows, sets, wanted).select("text", "node", "keys"), make, "key long, node long, n int, own boolean")
 
 
 def _possible(a: str, b: str) -> Column:
@@ -279,10 +310,10 @@ def _start(n: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", n, by), by)
 
 
-def _by_rare(hot: DataFrame, rows: DataFrame, sets: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b) of hot (node, root), of different roots, that share a rare shingle early enough to be close.
+def _by_rare(left: DataFrame, rows: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b) of left (node, root), of different roots, that share a rare shingle early enough to be close.
 
-    Shingles go from rare to frequent among the sets of hot. For each cell of sizes that the smaller one of a pair can have, a set sends as many
+    Shingles go from rare to frequent among the sets of left. For each cell of sizes that the smaller one of a pair can have, a set sends as many
     as a partner from there on calls for; a set that has many shingles to itself thus sends nothing that others have.
     """
 
@@ -293,7 +324,7 @@ def _by_rare(hot: DataFrame, rows: DataFrame, sets: DataFrame, width: int) -> Da
 
         return one
 
-    tokens = written(_by_slice(_at(rows, sets, hot).select("text", "node", "root"), make, "node long, root long, s array<long>").dropDuplicates(["node"]), "shingles")
+    tokens = written(_by_slice(_at(rows, sets, left).select("text", "node", "root"), make, "node long, root long, s array<long>").dropDuplicates(["node"]), "shingles")
     each = tokens.select("node", "root", F.size("s").alias("n"), F.explode("s").alias("tok"))
     times = each.groupBy("tok").agg(F.count("*").alias("times")).where("times > 1")
     ordered = each.join(times, "tok", "left").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "tok"))).alias("s"))
@@ -316,7 +347,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Components are those of pairs of texts whose sets of shingles have a Jaccard similarity of 4/5 or more. Every link that is
     made is verified on the whole sets. Links of sets of up to 72 shingles are all found but where two segments in a row are empty
-    or the bits are over BITS; larger sets deal a part of their shingles, which finds a link of similarity just 4/5 in more than
+    or the bits are over BITS; larger sets deal a part of their shingles, which finds a link of similarity just 4/5 in about
     99 of 100 cases and closer ones in nearly all. Texts without words are one group. Null ids, repeated rows, empty tables and
     other columns: as simhash.near_duplicates().
     """
@@ -327,7 +358,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     light = written(sets.where(F.size("fp") > 0).select("node", "fp").dropDuplicates(["node"]), "light")
     n = light.count()
     keyed = sets.select("node", "n", "own", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", (F.col("at") < F.col("own")).alias("own")).distinct()
-    buckets, links, roots = _shared(keyed), None, None
+    shared = _shared(keyed)
+    chains = _shared(written(_chains(shared, rows, sets, width), "chains"))
+    weights = chains.groupBy("node").agg(F.sum(F.log2("many")).alias("weight"))
+    buckets, links, roots = chains.join(weights, "node").select("key", "node", "n", "own", "weight"), None, None
     for salt in range(ROUNDS):
         buckets = written(_rooted(buckets, roots, salt), "buckets")
         release(spark)
@@ -337,13 +371,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         buckets = buckets.select("key", "node", "n", "own", "weight")
         links = close if links is None else links.unionAll(close)
         roots = written(components(links), "roots", n)
-    left = written(_rooted(buckets, roots, ROUNDS), "buckets")
-    few = left.where(F.col("many") <= BUCKET_ROWS)
+    left = written(_rooted(buckets, roots, ROUNDS).select("key", "node", "n", "own", "root", "many"), "left")
+    few = left.where(F.col("many") <= PAIR_ROWS)
     x, y = (few.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("node", "n", "own", "root"))) for p in ("a_", "b_"))
     pairs = x.join(y, "key").where((F.col("a_node") < F.col("b_node")) & _possible("a_", "b_")).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    hot = left.where(F.col("many") > BUCKET_ROWS).select("node", "root").distinct()
-    if not hot.isEmpty():
-        pairs = pairs.unionAll(_by_rare(hot, rows, sets, width))
+    pairs = pairs.unionAll(_by_rare(left.where(F.col("many") > PAIR_ROWS).select("node", "root").distinct(), rows, sets, width))
     last = _verified(_near(pairs, light).select("a", "b"), rows, sets, width)
     release(spark)
     links = last if links is None else links.unionAll(last)
