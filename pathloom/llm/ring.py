@@ -42,9 +42,9 @@ BITS = 13 * RING
 #: A chain of so many segments is asked of a pair.
 CHAIN = 8
 #: Of larger sets' shingles so many that differ are dealt, on average, at a similarity of just 4/5.
-DEALT = 12
+DEALT = 16
 #: Rounds of hubs; buckets of so many rows are taken as pairs after them.
-ROUNDS, PAIR_ROWS = 2, 6
+ROUNDS, PAIR_ROWS = 2, 16
 #: Sets of a hub's group that one task verifies, and rows up to which a table of keys is broadcast.
 GROUP_ROWS, KEYS = 200, 250_000
 #: Texts that a worker holds the sets of at a time.
@@ -324,15 +324,20 @@ def _by_rare(left: DataFrame, rows: DataFrame, sets: DataFrame, width: int) -> D
 
         return one
 
-    tokens = written(_by_slice(_at(rows, sets, left).select("text", "node", "root"), make, "node long, root long, s array<long>").dropDuplicates(["node"]), "shingles")
-    each = tokens.select("node", "root", F.size("s").alias("n"), F.explode("s").alias("tok"))
+    tokens = _by_slice(_at(rows, sets, left).select("text", "node", "root"), make, "node long, root long, s array<long>").dropDuplicates(["node"])
+    tokens = written(tokens.withColumn("i", F.monotonically_increasing_id()), "shingles")
+    release(rows.sparkSession)
+    each = tokens.select("i", F.explode("s").alias("tok"))
     times = each.groupBy("tok").agg(F.count("*").alias("times")).where("times > 1")
-    ordered = each.join(times, "tok", "left").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "tok"))).alias("s"))
+    # shingles that a set has to itself come first, so their number is enough
+    others = each.join(times, "tok").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("times", "tok"))).alias("others"))
+    ordered = tokens.select("i", "node", "root", F.size("s").alias("n")).join(others, "i").withColumn("own", F.col("n") - F.size("others"))
     least = lambda n: F.ceil(n * UP / DOWN).cast("int")
     starts = F.array_distinct(F.transform(F.sequence(least(F.col("n")), F.col("n")), _start))
-    cells = ordered.select("node", "root", "n", "s", F.explode(starts).alias("cell"))
+    cells = ordered.select("node", "root", "n", "own", "others", F.explode(starts).alias("cell"))
     must = F.ceil((F.col("n") + F.greatest("cell", least(F.col("n")))) * UP / (UP + DOWN)).cast("int")
-    sent = cells.select("node", "root", "n", "cell", F.posexplode(F.slice("s", 1, F.col("n") - must + 1)).alias("at", "of")).where("of.times > 1").select("node", "root", "n", "cell", "at", F.col("of.tok").alias("tok"))
+    prefix = F.greatest(F.col("n") - must + 1 - F.col("own"), F.lit(0))
+    sent = cells.select("node", "root", "n", "cell", "own", F.posexplode(F.slice("others.tok", 1, prefix)).alias("at", "tok")).withColumn("at", F.col("own") + F.col("at"))
     sent = written(sent, "rare")
     ends = sent.groupBy("cell", "tok").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell", "tok")
     some = sent.join(ends, ["cell", "tok"])
