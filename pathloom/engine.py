@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections import OrderedDict
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import CatalogError, NotFound
@@ -10,11 +13,30 @@ from .operators import catalog, content
 from .plans import search as S
 from .sources.tables import Generations
 from .streaming.observe import Store
-from .streaming.projector import Projector
+from .streaming.projector import ContentProjector, Projector
 
 CAPABILITIES = ("catalog_search", "content_search", "catalog_get_item", "catalog_get_items", "index_get_status", "agent_get_capabilities", "agent_get_health")
 
 
+#: Fixed value: ids of requests that are remembered.
+REPLAY_IDS = 4096
+
+
+class ReplayWindow:
+    """Refuses a request whose id is among the last ones that were taken; the oldest are forgotten first."""
+
+    def __init__(self, size: int = REPLAY_IDS):
+        self.size, self.seen = size, OrderedDict()
+
+    def take(self, request_id: str) -> bool:
+        if request_id in self.seen:
+            return False
+        self.seen[request_id] = None
+        if len(self.seen) > self.size:
+            self.seen.popitem(last=False)
+        return True
+
+
 class CatalogProjector(Projector):
     """Projects documents with the columns that search reads."""
 
@@ -51,9 +73,10 @@ class SearchEngine:
         self._allowed("catalog_search")
         return S.search_many(self.documents(), S.query_frame(self.spark, queries), top_k)
 
-    def item(self, document_id) -> DataFrame:
+    def item(self, document_id, authoritative: bool = False) -> DataFrame:
+        """A document as the active generation has it, or, authoritative, as the state of the store does."""
         self._allowed("catalog_get_item")
-        out = S.lookup(self.documents(), [document_id], S.ITEM)
+        out = S.lookup(self.store.documents() if authoritative else self.documents(), [document_id], S.ITEM)
         if out.isEmpty():
             raise NotFound(f"no document {document_id}")
         return out
@@ -71,6 +94,15 @@ class SearchEngine:
         hits = content.search(self.contents.read(), query, limit)
         return content.resolved_hits(hits, self.store.documents()).select(*S.ITEM, "rank").orderBy("rank")
 
+    def content_projector(self, read_texts: Callable[[DataFrame], DataFrame], policy: content.Policy) -> ContentProjector:
+        """The content index's consumer of the outbox. read_texts: eligible documents -> (path, text, skip_reason)."""
+        return ContentProjector(self.spark, self.store.log, self.store.root, read_texts, policy)
+
+    def project_content(self, read_texts: Callable[[DataFrame], DataFrame], policy: content.Policy) -> int:
+        """Bring the content index level with the outbox; returns the sequence reached."""
+        self.store.settle()
+        return self.content_projector(read_texts, policy).run()
+
     def build_content(self, texts: DataFrame, policy: content.Policy, documents: DataFrame | None = None) -> DataFrame:
         """Index texts (path, text, skip_reason) of the documents as a new generation; returns the summary of what was skipped."""
         docs = self.store.documents() if documents is None else documents
@@ -101,8 +133,3 @@ class SearchEngine:
         have = self.documents()
         same = catalog.converged(self.store.documents(), have.select(*self.store.documents().columns))
         return self.spark.createDataFrame([(same, self.projector.consumer.state()["sequence"] == self.store.log.high_water())], "converged boolean, level boolean")
-
-
-def ranked(rows: DataFrame, *order: str) -> DataFrame:
-    """Rows of a bounded frame with their place from 1."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -9,6 +9,7 @@ from ..errors import InvariantViolation
 from ..functions import text as T
 from ..functions import values as V
 from .graph import KEY, State, effective_availability, resolve_paths
+from .numbering import numbered
 
 #: What a document's fingerprint covers: all but its version.
 CONTENT = ["document_id", "volume_id", "file_id", "file_link_id", "name", "resolved_path", "extension", "kind", "size", "created_at_unix_ms", "modified_at_unix_ms", "hidden", "availability"]
@@ -40,15 +41,8 @@ def difference(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def outbox_rows(changes: DataFrame, high_water: int, version: int) -> DataFrame:
-    """Log rows of a batch's changes: sequences follow high_water without gaps, in the order of ids.
-
-    Ranks are counted in range partitions and shifted by the partitions before, so no task sorts the whole batch.
-    """
-    ranged = changes.repartitionByRange("document_id").withColumn("part", F.spark_partition_id())
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("document_id"))
-    return ranged.withColumn("place", place).join(F.broadcast(before), "part").select((F.lit(high_water) + F.col("before") + F.col("place")).cast("long").alias("sequence"), "document_id", F.lit(version).cast("long").alias("document_version"), "mutation", F.to_json("document").alias("payload"))
+    """Log rows of a batch's changes: sequences follow high_water without gaps, in the order of ids, none lost however large the batch."""
+    return numbered(changes, "document_id").select((F.lit(high_water) + F.col("place")).cast("long").alias("sequence"), "document_id", F.lit(version).cast("long").alias("document_version"), "mutation", F.to_json("document").alias("payload"))
 
 
 def read_outbox(outbox: DataFrame, after: int | None, limit: int) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import InvariantViolation
 from ..functions import text as T
 from ..sources.scratch import written
+from .numbering import numbered
 
 #: Fixed value: path components that a projected document has at most.
 DEPTH = 512
@@ -282,8 +283,9 @@ def removal_events(links: DataFrame, first_sequence: int = 0) -> DataFrame:
     """Events that take links away and then their objects: links first, in the order of ids."""
     a = links.select(F.lit("link_removed").alias("event"), F.lit(0).alias("o"), *KEY, "file_link_id")
     b = links.select(*KEY).distinct().select(F.lit("object_removed").alias("event"), F.lit(1).alias("o"), *KEY, F.lit(None).cast("string").alias("file_link_id"))
-    order = Window.partitionBy("volume_id").orderBy("o", "file_link_id", "file_id")
-    return a.unionByName(b).withColumn("sequence", F.row_number().over(order) + first_sequence - 1).drop("o")
+    placed = numbered(a.unionByName(b), "volume_id", "o", "file_link_id", "file_id")
+    first = placed.groupBy("volume_id").agg(F.min("place").alias("first"))  # a row for each volume
+    return placed.join(F.broadcast(first), "volume_id").withColumn("sequence", (F.col("place") - F.col("first") + first_sequence).cast("int")).drop("o", "place", "first")
 
 
 def effective_availability(volume_state: Column, availability: Column) -> Column:

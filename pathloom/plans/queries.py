@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import catalog, content, evaluate, governor, graph
 from ..sources import generator, journal
+from ..sources.scratch import written
 from ..sources.tables import garbage
 from ..streaming import stateful
 from . import fixtures as X
@@ -36,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _indexed(documents: DataFrame) -> DataFrame:
+    """Documents as a projection stores them: searches read the columns that were normalized when they were written."""
+    return written(S.with_search_columns(documents), "projection")
+
+
 _SPLIT = r"[t FOR t IN regexp_split_to_array({}, '[^\p{{L}}\p{{N}}]+') IF t <> '']"
 _D = "WITH base AS ({base}), d AS (SELECT *, lower(name) AS nn, lower(resolved_path) AS pn, " + _SPLIT.format("lower(name)") + " AS nt, " + _SPLIT.format("lower(resolved_path)") + " AS pt FROM base)"
 _MODES = {
@@ -58,7 +64,7 @@ SELECT document_id, name, resolved_path, kind, size, ['exact', 'prefix', 'token'
 
 def _add_search(name: str, base: str, q: str, where: str = "true", k: int = 20, modes=S.MODES, **request) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = S.with_search_columns(X.frame(spark, sf_dir, base))
+        docs = _indexed(X.frame(spark, sf_dir, base))
         hits = S.search(docs, S.SearchRequest(q, top_k=k, modes=tuple(modes), **request))
         return hits.select("document_id", "name", "resolved_path", "kind", "size", "match_type", "rank")
 
@@ -89,7 +95,7 @@ c AS (SELECT query_id, d.*, CASE WHEN nn = q THEN 0 WHEN starts_with(nn, q) THEN
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY match_class, nn, pn, document_id) AS rank FROM c WHERE match_class IS NOT NULL)
 SELECT query_id, document_id, rank::INTEGER AS rank, ['exact', 'prefix', 'token', 'substring', 'path'][match_class + 1] AS match_type FROM r WHERE rank <= 10""")
 def search_batch(spark, sf_dir):
-    docs = S.with_search_columns(X.frame(spark, sf_dir, X.PARTS))
+    docs = _indexed(X.frame(spark, sf_dir, X.PARTS))
     return S.search_many(docs, S.query_frame(spark, _BATCH), 10).select("query_id", "document_id", "rank", "match_type")
 
 
@@ -473,10 +479,24 @@ def id_codec(spark, sf_dir):
     return out.select("p_partkey", "id", F.lower(F.hex("parsed.value")).alias("value"), "parsed.error")
 
 
-@register("numbers", "SELECT p_partkey, (p_partkey * 1234567 // 10000)::BIGINT AS unix_ms, (least(p_size, p_size - 1) * 10000 // nullif(p_size - 1, 0))::INTEGER AS share, ceil(p_size / 7.0)::BIGINT AS up, 'generation-' || lpad(p_partkey::VARCHAR, 20, '0') AS generation, greatest(p_size - 25, 0)::BIGINT AS rest, greatest(10, p_size * 20 // 100)::BIGINT AS reserve FROM part WHERE p_size < 31")
+@register("numbers", "SELECT p_partkey, (p_partkey * 1234567 // 10000)::BIGINT AS unix_ms, (least(p_size, p_size - 1) * 10000 // nullif(p_size - 1, 0))::INTEGER AS share, ceil(p_size / 7.0)::BIGINT AS up, 'generation-' || lpad(p_partkey::VARCHAR, 20, '0') AS generation, greatest(p_size - 25, 0)::BIGINT AS rest, greatest(10, p_size * 20 // 100)::BIGINT AS reserve FROM part")
 def numbers(spark, sf_dir):
     n = F.col("p_size").cast("long")
-    return table(spark, sf_dir, "part").where("p_size < 31").select("p_partkey", V.filetime_ms(F.col("p_partkey") * 1234567 + V.FILETIME_EPOCH).alias("unix_ms"), V.basis_points(n, n - 1).alias("share"), F.ceil(n / F.lit(7)).alias("up"), V.generation_name(F.col("p_partkey")).alias("generation"), V.subtract_saturating(n, F.lit(25).cast("long")).alias("rest"), V.disk_reserve(n, 10, 20).alias("reserve"))
+    return table(spark, sf_dir, "part").select("p_partkey", V.filetime_ms(F.col("p_partkey") * 1234567 + V.FILETIME_EPOCH).alias("unix_ms"), V.basis_points(n, n - 1).alias("share"), F.ceil(n / F.lit(7)).alias("up"), V.generation_name(F.col("p_partkey")).alias("generation"), V.subtract_saturating(n, F.lit(25).cast("long")).alias("rest"), V.disk_reserve(n, 10, 20).alias("reserve"))
+
+
+@register("journal_page", "WITH e AS (SELECT event_id // 3 AS position, (event_id % 3)::INTEGER AS part, event_type FROM events) SELECT position, part, event_type FROM e WHERE position > 40 OR position = 40 AND part > 0 ORDER BY position, part LIMIT 100")
+def journal_page(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 3).alias("position"), (F.col("event_id") % 3).cast("int").alias("part"), "event_type")
+    return journal.bounded(rows, (40, 0), 100)[0]
+
+
+@register("outbox_append_wide", "SELECT row_number() OVER (ORDER BY event_id) AS sequence, event_id AS document_id, sha256(repeat(md5(event_id::VARCHAR), 60)) AS text_sha256 FROM events")
+def outbox_append_wide(spark, sf_dir):
+    text = F.repeat(F.md5(F.col("event_id").cast("string").cast("binary")), F.lit(60))
+    changes = table(spark, sf_dir, "events").select(F.col("event_id").alias("document_id"), F.lit("upsert").alias("mutation"), F.struct("event_id", text.alias("text")).alias("document"))
+    rows = written(catalog.outbox_rows(changes, 0, 1), "outbox")
+    return rows.select("sequence", "document_id", F.sha2(F.get_json_object("payload", "$.text"), 256).alias("text_sha256"))
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------------
@@ -506,7 +526,7 @@ def recall_precision(spark, sf_dir):
 def substring_recall(spark, sf_dir):
     """Recall and precision of the gram index on the controlled names, against brute force: all must be 1."""
     docs, queries = evaluate.controlled_workload(spark)
-    docs = S.with_search_columns(docs)
+    docs = _indexed(docs)
     found = S.search_many(docs, queries, 100_000).where(F.contains("name_norm", F.col("q"))).select("query_id", "document_id")
     return evaluate.recall_precision(evaluate.substring_truth(docs, queries), found, queries).select("query_id", "recall", "precision")
 
@@ -586,7 +606,7 @@ def synthetic_queries(spark, sf_dir):
 def synthetic_search(spark, sf_dir):
     """The generator's workload on its own catalog, all queries at once."""
     n = table(spark, sf_dir, "lineitem").count()
-    docs = S.with_search_columns(generator.as_documents(generator.catalog(spark, n, 20260814)))
+    docs = _indexed(generator.as_documents(generator.catalog(spark, n, 20260814)))
     asked = generator.retrieval_queries(spark, n, 30, 20260814).select(F.col("place").alias("query_id"), T.normalize(F.col("text")).alias("q"))
     return S.search_many(docs, asked, 10).select("query_id", "document_id", "rank", "match_type")
 

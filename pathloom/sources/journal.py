@@ -141,10 +141,14 @@ def checkpoint_gaps(checkpoints: DataFrame, journals: DataFrame) -> DataFrame:
     return checkpoints.join(now, "volume_id", "left").where("now is null or journal != now or position < lowest").select("volume_id")
 
 
-def bounded(rows: DataFrame, after: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(page, has_more): events (position, part) after a position, `limit` of them; a record's events that don't fit come next time.
+def bounded(rows: DataFrame, after: int | tuple[int, int], limit: int) -> tuple[DataFrame, DataFrame]:
+    """(page, has_more): `limit` events (position, part) after a cursor; a record's events that don't fit come next time.
 
-    The cursor is (position, part), so a page may end inside a record.
+    The cursor is the last event's (position, part), so a page may end inside a record; a position alone means all of its events.
     """
-    found = rows.where(F.col("position") > after).orderBy("position", "part").limit(limit + 1)
+    position, part = after if isinstance(after, tuple) else (after, None)
+    behind = F.col("position") > position
+    if part is not None:
+        behind = behind | ((F.col("position") == position) & (F.col("part") > part))
+    found = rows.where(behind).orderBy("position", "part").limit(limit + 1)
     return found.orderBy("position", "part").limit(limit), found.agg((F.count("*") > limit).alias("has_more"))

@@ -55,6 +55,13 @@ class Folder:
         root = self._path(self.root)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(root)) if self._fs.exists(root) else []
 
+    def move(self, name: str, to: str) -> None:
+        """Rename name; what is at the new name is replaced."""
+        self._fs.mkdirs(self.at(to).getParent())
+        self._fs.delete(self.at(to), True)
+        if not self._fs.rename(self.at(name), self.at(to)):
+            raise OSError(f"{name} can't be moved")
+
     def delete(self, name: str) -> None:
         self._fs.delete(self.at(name), True)
 
@@ -163,7 +170,11 @@ class Generations:
         return sorted(int(n) for n, r in self._book()["records"].items() if r["state"] == "building")
 
     def info(self, number: int) -> dict:
-        return self._book()["records"].get(str(number), {})
+        return self.records().get(str(number), {})
+
+    def records(self) -> dict[str, dict]:
+        """What the book says of each generation."""
+        return self._book()["records"]
 
     def read(self, number: int | None = None) -> DataFrame:
         number = self.active() if number is None else number

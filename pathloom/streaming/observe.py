@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,11 +52,19 @@ class Store:
     def documents(self) -> DataFrame:
         return self._table("documents", self.book())
 
+    def flags(self) -> DataFrame:
+        """One row of what is pending: scans, rows staged for the log, and generations that wait for collection."""
+        kept = [r["state"] for t in self.tables.values() for r in t.records().values()]
+        row = (bool(self.book()["sessions"]), bool(Folder(self.spark, f"{self.root}/outbox/staged").names()), kept.count("retired") > len(self.tables) or "failed" in kept)
+        return self.spark.createDataFrame([row], "scan_pending boolean, publication_pending boolean, maintenance_pending boolean")
+
     def publish(self, state: graph.State, *, durable: bool = True, **changes) -> dict:
-        """Write the state's tables, the documents that it calls for and the outbox rows of the difference; then the book.
+        """Write the state's tables, the documents that it calls for and the outbox rows of the difference; then the book; then the rows move to the log.
 
-        durable=False, for a first load, writes no outbox rows; it is refused once a consumer is registered.
+        The book has the last sequence, so a publication that was cut off before its book takes the same ones when it is run again, and
+        one that was cut off after it is completed by settle(). Consumers never see rows of a batch that isn't in the book. durable=False, for a first load, writes no outbox rows; it is refused once a consumer is registered.
         """
+        self.settle()
         book = self.book()
         generation = book["generation"] + 1
         if not durable and any(n.startswith("consumer-") for n in self.folder.names()):
@@ -70,17 +80,25 @@ class Store:
         upserts = 0
         if durable:
             delta = catalog.difference(old, self.tables["documents"].read(numbers["documents"]))
-            rows = catalog.outbox_rows(delta, self.log.high_water(), generation)
-            self.log.append(rows, generation)
-            upserts = self.log.spark.read.parquet(f"{self.log.root}/log/batch-{generation:020d}").count()
+            upserts, top = self.log.stage(catalog.outbox_rows(delta, self._sequence(book), generation), generation)
+            changes |= {"sequence": self._sequence(book) if top is None else top}
         for n, number in numbers.items():
             self.tables[n].activate(number)
         book = book | {"generation": generation, "tables": numbers} | changes
         write_slots(self.folder, "graph", book)
+        self.settle()
         for n in numbers:
             self.tables[n].collect_garbage(1)
         return {"generation": generation, "outbox_rows": upserts}
 
+    def _sequence(self, book: dict) -> int:
+        return book.get("sequence", self.log.high_water())
+
+    def settle(self) -> None:
+        """Complete the last publication: rows that its book speaks of go to the log, others that are staged are dropped."""
+        book = self.book()
+        self.log.settle(book["generation"], self._sequence(book))
+
     def apply(self, volume_id: str, events: DataFrame, checkpoint: dict | None = None, durable: bool = True) -> dict:
         """A batch of one volume's events, whole or not at all; the checkpoint is published with it. An empty batch may move the checkpoint."""
         book, state = self.book(), self.state()
@@ -169,6 +187,17 @@ class Controller:
             self.store.publish(graph.State(graph.set_volume_state(state.volumes, volume, "offline"), state.objects, state.links))
             return Step(volume, "offline")
 
+    def watch(self, iterations: int | None = None, pause_seconds: float = 1.0, stop: Callable[[], bool] = lambda: False) -> list[Step]:
+        """Steps until stop() holds or there were so many; pauses after a turn over all volumes in which nothing was left to do. Returns the last turn's steps."""
+        turn: list[Step] = []
+        n = 0
+        while not stop() and (iterations is None or n < iterations):
+            turn = [*turn, self.step()][-len(self.volumes) :]
+            n += 1
+            if self.turn % len(self.volumes) == 0 and all(s.done and not s.events for s in turn) and (iterations is None or n < iterations):
+                time.sleep(pause_seconds)
+        return turn
+
     def _scan(self, volume: str, session: dict | None) -> Step:
         if session is None:
             self.store.begin_scan(volume)

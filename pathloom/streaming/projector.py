@@ -7,13 +7,15 @@ activated and only then acknowledged, so a batch that is cut off anywhere is app
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..errors import InvariantViolation, NotFound
-from ..operators import catalog
+from ..operators import catalog, content
+from ..sources.scratch import written
 from ..sources.tables import Folder, Generations, read_slots, write_slots
 
 
@@ -30,6 +32,21 @@ class OutboxLog:
         top = self.spark.read.parquet(f"{self.root}/log/batch-{batch:020d}").agg(F.max("sequence")).first()[0]
         write_slots(self.folder, "high-water", {"sequence": max(top or 0, self.high_water())})
 
+    def stage(self, rows: DataFrame, batch: int) -> tuple[int, int | None]:
+        """Write a batch's rows where no consumer sees them; returns their number and last sequence."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/staged/batch-{batch:020d}")
+        return tuple(self.spark.read.parquet(f"{self.root}/staged/batch-{batch:020d}").agg(F.count("*"), F.max("sequence")).first())
+
+    def settle(self, batch: int, sequence: int) -> None:
+        """Move the staged batch into the log, whose end is `sequence` then; drop what else is staged: its publication was cut off."""
+        for name in Folder(self.spark, f"{self.root}/staged").names() if self.folder.exists("staged") else []:
+            if name == f"batch-{batch:020d}":
+                if sequence > self.high_water():
+                    write_slots(self.folder, "high-water", {"sequence": sequence})
+                self.folder.move(f"staged/{name}", f"log/{name}")
+            else:
+                self.folder.delete(f"staged/{name}")
+
     def read(self) -> DataFrame:
         if not self.folder.exists("log"):
             return self.spark.createDataFrame([], schemas.OUTBOX)
@@ -89,14 +106,7 @@ class Projector:
         if ends.a != after + 1 or ends.b - ends.a + 1 != ends.n:
             raise InvariantViolation("the log has a gap", after=after, first=ends.a, last=ends.b, rows=ends.n)
         parsed = batch.select("sequence", "document_id", "mutation", F.from_json("payload", self.schema).alias("document"))
-        try:
-            now = self.generations.read()
-        except NotFound:
-            now = self._project(self.spark.createDataFrame([], self.schema))
-        last = catalog.last_writes(parsed)
-        fresh = self._project(last.where("mutation = 'upsert'").select("document.*"))
-        kept = now.join(last.select("document_id"), "document_id", "left_anti")
-        number = self.generations.create(kept.unionByName(fresh))
+        number = self.generations.create(self._merged(catalog.last_writes(parsed)))
         self.generations.activate(number)
         self.consumer.acknowledge(ends.b, number, self.log.high_water())
         self.generations.collect_garbage(1)
@@ -105,6 +115,15 @@ class Projector:
     def _project(self, rows: DataFrame) -> DataFrame:
         return rows
 
+    def _merged(self, last: DataFrame) -> DataFrame:
+        """The next generation: the active one with each document's last mutation (document_id, mutation, document)."""
+        try:
+            now = self.generations.read()
+        except NotFound:
+            now = self._project(self.spark.createDataFrame([], self.schema))
+        fresh = self._project(last.where("mutation = 'upsert'").select("document.*"))
+        return now.join(last.select("document_id"), "document_id", "left_anti").unionByName(fresh)
+
     def run(self, files_per_batch: int = 16, most_seconds: float | None = None) -> int:
         """Consume what the log has now, as a stream of bounded micro-batches; returns the sequence reached.
 
@@ -121,10 +140,13 @@ class Projector:
         return self.consumer.state()["sequence"]
 
     def recover(self, desired: DataFrame) -> int:
-        """The active generation's number; if it can't be read or was never acknowledged, all is rebuilt from the desired catalog first."""
+        """The active generation's number; if it can't be read or was never acknowledged, or if the log has a gap after the
+        checkpoint, all is rebuilt from the desired catalog first."""
         state = self.consumer.state()
         active = self.generations.active()
-        if active is not None and state["generation"] == active and self.generations.folder.exists(self.generations.path(active).rpartition("/")[2]):
+        ahead = self.log.read().where(F.col("sequence") > state["sequence"]).agg(F.min("sequence").alias("a"), F.max("sequence").alias("b"), F.count("*").alias("n")).first()
+        whole = not ahead.n or (ahead.a == state["sequence"] + 1 and ahead.b - ahead.a + 1 == ahead.n)
+        if whole and active is not None and state["generation"] == active and self.generations.folder.exists(self.generations.path(active).rpartition("/")[2]):
             return active
         return self.rebuild(desired)
 
@@ -136,6 +158,37 @@ class Projector:
         return number
 
 
+class ContentProjector(Projector):
+    """Keeps the content index level with the outbox: a batch's documents are read only if they may be indexed, and only those that changed are written anew."""
+
+    def __init__(self, spark: SparkSession, log: OutboxLog, root: str, read_texts: Callable[[DataFrame], DataFrame], policy: content.Policy):
+        super().__init__(spark, log, root, "content")
+        self.read_texts, self.policy = read_texts, policy
+
+    def _project(self, rows: DataFrame) -> DataFrame:
+        return content.index(self._read(rows).where("skip_reason is null"))
+
+    def _read(self, documents: DataFrame) -> DataFrame:
+        """Documents with text, content_hash and skip_reason."""
+        declared = content.eligibility(documents, self.policy)
+        texts = self.read_texts(declared.where("skip_reason is null")).select(F.col("path").alias("resolved_path"), "text", F.col("skip_reason").alias("read_reason"))
+        rows = declared.join(texts, "resolved_path", "left")
+        reason = F.coalesce("skip_reason", "read_reason", F.when(F.col("text").isNull(), "io"))
+        return rows.withColumns({"skip_reason": reason, "content_hash": F.sha2("text", 256)})
+
+    def _merged(self, last: DataFrame) -> DataFrame:
+        rows = written(self._read(last.where("mutation = 'upsert'").select("document.*")), "texts")
+        gone = last.where("mutation = 'delete'").select("document_id")
+        fresh = content.index(rows.where("skip_reason is null"))
+        try:
+            prior = self.generations.read()
+        except NotFound:
+            prior = self.spark.createDataFrame([], fresh.schema)
+        content.check_batch(rows, gone)
+        outcomes = written(content.delta(prior, rows, gone), "outcomes")
+        return content.apply_delta(prior, fresh, gone, outcomes)
+
+
 def catalog_stream_counts(events: DataFrame, key: str, delete: str) -> DataFrame:
     """Running last writes of a change stream, for update or complete output: (key, sequence, mutation)."""
     return events.groupBy(key).agg(F.max("sequence").alias("sequence"), F.max_by(F.when(F.col("event") == delete, "delete").otherwise("upsert"), "sequence").alias("mutation"))
