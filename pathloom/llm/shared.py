@@ -26,6 +26,7 @@ def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
             out = f(b)
             if out is not None and out.num_rows:
                 yield out
+        pa.default_memory_pool().release_unused()  # workers are used again
 
     return df.mapInArrow(run, schema)
 
