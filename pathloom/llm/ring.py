@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import release, utf8, written
+from .shared import release, trim, utf8, written
 from .simhash import marked, text_hash
 
 WIDTH = 5
@@ -150,7 +150,7 @@ def _by_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 out = f(b.slice(at, _SLICE))
                 if out.num_rows:
                     yield out
-        pa.default_memory_pool().release_unused()  # workers are used again
+        trim()
 
     return df.mapInArrow(run, schema)
 
@@ -299,7 +299,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int) ->
                     out.append((x, node))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-        pa.default_memory_pool().release_unused()
+        trim()
 
     out = written(dealt.mapInArrow(run, "a long, b long"), "close")
     release(rows.sparkSession)

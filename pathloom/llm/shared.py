@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import discard, new_path, shared_dir, written
 
-__all__ = ["before_each", "by_batch", "discard", "let", "new_path", "release", "shared_dir", "utf8", "written"]
+__all__ = ["before_each", "by_batch", "discard", "let", "new_path", "release", "shared_dir", "trim", "utf8", "written"]
 
 #: Elements of an array that before_each() takes at a time.
 _BLOCK = 256
@@ -26,11 +27,19 @@ def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
             out = f(b)
             if out is not None and out.num_rows:
                 yield out
-        pa.default_memory_pool().release_unused()  # workers are used again
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: workers are used again, also by other operators."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def utf8(column: pa.Array) -> Iterator[bytes | None]:
     """The column's texts as bytes, one at a time."""
     if not pa.types.is_large_binary(column.type):
