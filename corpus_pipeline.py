@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import decontam, langid, mixing, ring, secrets, simhash
-from pathloom.llm.shared import new_path, written
+from pathloom.llm.shared import new_path, release, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose best language is further away than this score is rejected, as are texts without letters.
@@ -76,6 +76,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = new_path(spark, f"stage-{name}")
             stage(spark, docs, sf_dir).write.parquet(path)
             docs = spark.read.parquet(path)
+            release(spark)
     finally:
         spark.conf.set(_BATCH, before)
     return docs
