@@ -13,11 +13,12 @@ from pathloom.streaming.projector import OutboxLog
 VOLUME = ("v", "V", ["C:\\"], "ntfs", False, True, "online", None, 0)
 
 
-def events(spark, names, kind="file", first=1):
-    rows = []
+def events(spark, names, kind="file", first=3):
+    """Files f1, f2, ... in the folder docs."""
+    rows = [(1, "object_observed", "v", "f0", None, None, None, None, None, "directory", 0, 1, 1, False, "online", None), (2, "link_observed", "v", "f0", "l0", None, None, "docs", False, *[None] * 7)]
     for k, (i, name) in enumerate(names):
         rows.append((first + 2 * k, "object_observed", "v", f"f{i}", None, None, None, None, None, kind, 10 + i, 1, 1, False, "online", None))
-        rows.append((first + 2 * k + 1, "link_observed", "v", f"f{i}", f"l{i}", None, None, name, False, None, None, None, None, None, None, None))
+        rows.append((first + 2 * k + 1, "link_observed", "v", f"f{i}", f"l{i}", "v", "f0", name, False, None, None, None, None, None, None, None))
     return spark.createDataFrame(rows, schemas.EVENT_ROWS)
 
 
@@ -81,14 +82,14 @@ def test_a_publication_that_is_cut_off(spark, tmp_path, monkeypatch, at):
             engine.store.apply("v", events(spark, [(2, "b.txt"), (3, "c.txt")]))
     assert engine.store.flags().first().publication_pending
     seen = engine.projector.run()  # a consumer sees nothing of the batch yet
-    assert seen == 1
+    assert seen == 2
     again = SearchEngine(spark, f"file://{tmp_path}/catalog")
     again.store.apply("v", events(spark, [(2, "b.txt"), (3, "c.txt")]))
     again.store.apply("v", events(spark, [(4, "d.txt")]))
     log = again.store.log.read()
     assert catalog.gaps(log.select("sequence")).isEmpty() and log.count() == log.select("sequence").distinct().count()
     assert again.projector.run() == again.store.log.high_water() == log.count()
-    assert again.health().first() == (True, True) and again.documents().count() == 4
+    assert again.health().first() == (True, True) and again.documents().count() == 5
     assert not again.store.flags().first().publication_pending
 
 
@@ -105,12 +106,13 @@ def test_a_gap_is_healed_by_a_rebuild(spark, tmp_path):
     assert engine.health().first() == (True, True)
     engine.store.apply("v", events(spark, [(4, "d.txt")]))
     engine.projector.run()
-    assert engine.documents().count() == 4
+    assert engine.documents().count() == 5
 
 
 def test_content_follows_the_outbox(spark, tmp_path):
     engine = store(spark, tmp_path)
-    texts = {"/a.txt": "alpha beta", "/b.txt": "beta gamma", "a.txt": "alpha beta", "b.txt": "beta gamma", "c.png": "alpha"}
+    root = "docs"
+    texts = {f"{root}/a.txt": "alpha beta", f"{root}/b.txt": "beta gamma", f"{root}/c.png": "alpha"}
     read = []
 
     def read_texts(documents):
@@ -118,9 +120,9 @@ def test_content_follows_the_outbox(spark, tmp_path):
         read.append(sorted(r[0] for r in rows))
         return spark.createDataFrame(rows, "path string, text string, skip_reason string")
 
-    policy = content.Policy(("/",), 1 << 20)
+    policy = content.Policy((root,), 1 << 20)
     engine.store.apply("v", events(spark, [(1, "a.txt"), (2, "b.txt"), (3, "c.png")]))
-    assert engine.project_content(read_texts, policy) == 3
+    assert engine.project_content(read_texts, policy) == 4
     assert engine.contents.read().count() == 2
     assert {r.name for r in engine.content_search("beta").collect()} == {"a.txt", "b.txt"}
     assert len(read[-1]) == 2  # the image isn't read
