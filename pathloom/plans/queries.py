@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _indexed(documents: DataFrame) -> DataFrame:
+def _projected(documents: DataFrame) -> DataFrame:
     """Documents as a projection stores them: searches read the columns that were normalized when they were written."""
     return written(S.with_search_columns(documents), "projection")
 
@@ -64,7 +64,7 @@ SELECT document_id, name, resolved_path, kind, size, ['exact', 'prefix', 'token'
 
 def _add_search(name: str, base: str, q: str, where: str = "true", k: int = 20, modes=S.MODES, **request) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = _indexed(X.frame(spark, sf_dir, base))
+        docs = _projected(X.frame(spark, sf_dir, base))
         hits = S.search(docs, S.SearchRequest(q, top_k=k, modes=tuple(modes), **request))
         return hits.select("document_id", "name", "resolved_path", "kind", "size", "match_type", "rank")
 
@@ -95,7 +95,7 @@ c AS (SELECT query_id, d.*, CASE WHEN nn = q THEN 0 WHEN starts_with(nn, q) THEN
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY match_class, nn, pn, document_id) AS rank FROM c WHERE match_class IS NOT NULL)
 SELECT query_id, document_id, rank::INTEGER AS rank, ['exact', 'prefix', 'token', 'substring', 'path'][match_class + 1] AS match_type FROM r WHERE rank <= 10""")
 def search_batch(spark, sf_dir):
-    docs = _indexed(X.frame(spark, sf_dir, X.PARTS))
+    docs = _projected(X.frame(spark, sf_dir, X.PARTS))
     return S.search_many(docs, S.query_frame(spark, _BATCH), 10).select("query_id", "document_id", "rank", "match_type")
 
 
@@ -526,7 +526,7 @@ def recall_precision(spark, sf_dir):
 def substring_recall(spark, sf_dir):
     """Recall and precision of the gram index on the controlled names, against brute force: all must be 1."""
     docs, queries = evaluate.controlled_workload(spark)
-    docs = _indexed(docs)
+    docs = _projected(docs)
     found = S.search_many(docs, queries, 100_000).where(F.contains("name_norm", F.col("q"))).select("query_id", "document_id")
     return evaluate.recall_precision(evaluate.substring_truth(docs, queries), found, queries).select("query_id", "recall", "precision")
 
@@ -606,7 +606,7 @@ def synthetic_queries(spark, sf_dir):
 def synthetic_search(spark, sf_dir):
     """The generator's workload on its own catalog, all queries at once."""
     n = table(spark, sf_dir, "lineitem").count()
-    docs = _indexed(generator.as_documents(generator.catalog(spark, n, 20260814)))
+    docs = _projected(generator.as_documents(generator.catalog(spark, n, 20260814)))
     asked = generator.retrieval_queries(spark, n, 30, 20260814).select(F.col("place").alias("query_id"), T.normalize(F.col("text")).alias("q"))
     return S.search_many(docs, asked, 10).select("query_id", "document_id", "rank", "match_type")
 
