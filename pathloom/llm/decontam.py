@@ -110,21 +110,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows = written(windows_of(benchmark, item_col, item_text_col, window), "windows")
     size = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("w") + F.aggregate("items", F.lit(0), lambda a, i: a + F.octet_length(i))), F.lit(0)).alias("bytes")).first()
     blocks = max(-(-size.n * window // block_words), -(-size.bytes // BLOCK_BYTES), 1)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    # a text, or an id, that is kept goes to Python once
+    name = {id_col: "id"} | ({text_col: "text"} if docs.schema[text_col].dataType.simpleString() == "string" else {})
+    name = {c: name.get(c, f"keep_{c}") for c in keep}
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in name.items() if k not in ("id", "text")))
     if blocks > 1:
         rows = written(rows.withColumn("n", F.monotonically_increasing_id()), "documents")
-    kept = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns[2:])
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, spans {_SPANS}, items array<string>{kept}"
+    kept = rows.columns[1 if "text" in name.values() else 2 :]
+    fields = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, spans {_SPANS}, items array<string>{fields}"
     out = None
     for k in range(blocks):  # the driver holds one block at a time
         block = windows.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == k) if blocks > 1 else windows
-        part = _matched(rows, {tuple(bytes(r.w).split(b" ")): r["items"] for r in block.collect()}, schema)
+        part = _matched(rows, {tuple(bytes(r.w).split(b" ")): r["items"] for r in block.collect()}, kept, schema)
         out = part if out is None else out.unionAll(part)
     if blocks > 1:
-        same = [F.first(c).alias(c) for c in ("id", "n_words", *rows.columns[2:-1])]
+        same = [F.first(c).alias(c) for c in ("id", "n_words", *kept[:-1])]
         out = out.groupBy("n").agg(*same, F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        out = by_batch(out.select("id", "n_words", "spans", "items", *rows.columns[2:-1]), _merged, schema.removesuffix(", `n` bigint"))
-    return out.select(*(F.col(f"keep_{c}").alias(c) for c in keep), "id", "n_words", F.expr("aggregate(spans, 0L, (a, s) -> a + s.stop - s.start)").alias("n_hit"), "items", "spans")
+        out = by_batch(out.select("id", "n_words", "spans", "items", *kept[:-1]), _merged, schema.removesuffix(", `n` bigint"))
+    return out.select(*(F.col(name[c]).alias(c) for c in keep), "id", "n_words", F.expr("aggregate(spans, 0L, (a, s) -> a + s.stop - s.start)").alias("n_hit"), "items", "spans")
 
 
 _SPANS = "array<struct<start:long,stop:long>>"
@@ -149,13 +153,12 @@ def _merged():
     return one
 
 
-def _matched(rows: DataFrame, windows, schema: str) -> DataFrame:
+def _matched(rows: DataFrame, windows, kept: list[str], schema: str) -> DataFrame:
     every = sorted({s for w in windows for s in _shingles(list(w), _width(w))})
     counts = rarity(rows, every, "text")
     index = prefix_index(windows, counts)
     widths = sorted({_width(w) for w in windows})
     shared = rows.sparkSession.sparkContext.broadcast((index, windows, widths))
-    kept = rows.columns[2:]
 
     def make():
         index, items, widths = shared.value
@@ -172,7 +175,7 @@ def _matched(rows: DataFrame, windows, schema: str) -> DataFrame:
                     covered[s : s + len(w)] = 1
                 edge = np.flatnonzero(np.diff(covered, prepend=0))
                 hits.append([{"start": int(s), "stop": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hits, _SPANS_ARROW), pa.array(found, pa.list_(pa.string())), *b.columns[2:]], ["id", "n_words", "spans", "items", *kept])
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hits, _SPANS_ARROW), pa.array(found, pa.list_(pa.string())), *b.columns[b.num_columns - len(kept) :]], ["id", "n_words", "spans", "items", *kept])
 
         return one
 

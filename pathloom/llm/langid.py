@@ -130,20 +130,23 @@ def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_
     if len(rows) > MOST_LANGUAGES * size:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     shared = docs.sparkSession.sparkContext.broadcast(rows)
-    picked = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).cast("string").alias("_text"))
+    # the text is the last column, and goes to Python once if it is kept
+    name = {text_col: "text"} if docs.schema[text_col].dataType.simpleString() == "string" else {}
+    name = {c: name.get(c, f"keep_{c}") for c in keep}
+    picked = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(k) for c, k in name.items() if k != "text"), F.col(text_col).cast("string").alias("text"))
+    given = len(picked.columns) - ("text" not in name.values())
 
     def make():
         p = Profiles(shared.value, size)
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            at = b.num_columns - 1
-            found = [p.predict(t.as_py()) for t in b.column(at)]
-            return pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names[:at], "lang_pred", "score"])
+            found = [p.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
+            return pa.RecordBatch.from_arrays([*b.columns[:given], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names[:given], "lang_pred", "score"])
 
         return one
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return by_batch(picked, make, f"{fields}, lang_pred string, score double")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:given])
+    return by_batch(picked, make, f"{fields}, lang_pred string, score double").select("id", *(F.col(name[c]).alias(c) for c in keep), "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id"):

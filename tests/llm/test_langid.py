@@ -60,8 +60,8 @@ def test_against_plain_python(spark):
     for r in learned.collect():
         got[r.lang][r.gram % 2**64] = r.rank
     assert got == {lang: {key(g): r for g, r in p.items()} for lang, p in profiles.items()}
-    found = langid.identify(df, learned, size=30, keep=("lang",)).collect()
-    assert len(found) == len(rows)
+    found = langid.identify(df, learned, size=30, keep=("lang", "text")).collect()
+    assert Counter((r.id, r.text, r.lang) for r in found) == Counter(rows)
     want = {i: slow_predict(t, profiles, 30) for i, t, _ in rows}
     assert all(r.lang_pred == want[r.id][0] and abs(r.score - want[r.id][1]) < 1e-9 for r in found)
 
