@@ -159,16 +159,24 @@ def events_to_mutations(events: DataFrame) -> DataFrame:
 def resolve_paths(links: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(file_link_id, resolved_path, depth, error, error_subject) for each link.
 
-    The walk goes from a link to its parent object's only link, level by level: a round is one join for all walks that are still
-    on, so rounds follow the tree's depth and not its size. Errors, by what a step meets first: depth_limit,
-    traversal_boundary (an ancestor's), parent_cycle, missing_parent, ambiguous_parent (an ancestor with two links or more).
-    Each round's walks are written to the shared folder, so rounds don't run again those before them.
+    A link's path hangs on its parent object alone, so walks start at the distinct parents, not at each link, and links join them
+    at the end, once; a folder with very many links is split there by the skew join. A walk goes from an object to its only link's
+    parent, level by level: a round is one join for all walks that are still on, so rounds follow the tree's depth and not its
+    size. Errors, by what a step meets first: depth_limit, traversal_boundary (an ancestor's), parent_cycle, missing_parent,
+    ambiguous_parent (an ancestor with two links or more). Parents' links and each round's walks are written to the shared folder,
+    so rounds don't run again those before them.
     """
     if depth < 1:
         raise InvariantViolation("a path has one component at least")
-    only = links.groupBy(*(F.col(c).alias(f"parent_{c}") for c in KEY)).agg(F.count("*").alias("n"), F.first("file_link_id").alias("up"), F.first("name").alias("up_name"), F.first("traversal_boundary").alias("up_boundary"), F.first("parent_volume_id").alias("up_volume"), F.first("parent_file_id").alias("up_file"))
+    below = links.where("parent_file_id is not null")
+    parents = written(below.select(*PARENT).distinct(), "parents")
+    named = parents.select(*(F.col(f"parent_{c}").alias(c) for c in KEY))
+    own = links.join(named, KEY, "left_semi").groupBy(*(F.col(c).alias(f"parent_{c}") for c in KEY))
+    only = written(own.agg(F.count("*").alias("n"), F.first("file_link_id").alias("up"), F.first("name").alias("up_name"), F.first("traversal_boundary").alias("up_boundary"), F.first("parent_volume_id").alias("up_volume"), F.first("parent_file_id").alias("up_file")), "only")
     subject = F.concat_ws("/", *PARENT)
-    walks = links.select("file_link_id", *PARENT, F.array("name").alias("names"), F.array().cast("array<string>").alias("seen"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("error_subject"))
+    start = ["start_volume", "start_file"]
+    none = F.lit(None).cast("string")
+    walks = parents.select(*(F.col(c).alias(s) for c, s in zip(PARENT, start, strict=True)), *PARENT, F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("seen"), none.alias("error"), none.alias("error_subject"))
     on = F.col("parent_file_id").isNotNull() & F.col("error").isNull()
     done = None
     for step in range(1, depth + 2):
@@ -181,10 +189,14 @@ def resolve_paths(links: DataFrame, depth: int = DEPTH) -> DataFrame:
         cycle = F.array_contains("seen", subject)
         error = F.when(cycle, "parent_cycle").when(F.col("n").isNull(), "missing_parent").when(F.col("n") > 1, "ambiguous_parent").when(F.lit(step >= depth), "depth_limit").when(F.coalesce("up_boundary", F.lit(False)), "traversal_boundary")
         what = F.when(error.isin("parent_cycle", "missing_parent", "ambiguous_parent"), subject).when(error == "depth_limit", F.lit(str(depth))).when(error == "traversal_boundary", F.col("up").cast("string"))
-        walks = met.select("file_link_id", F.col("up_volume").alias("parent_volume_id"), F.col("up_file").alias("parent_file_id"), F.concat("names", F.array("up_name")).alias("names"), F.concat("seen", F.array(subject)).alias("seen"), error.alias("error"), what.alias("error_subject"))
+        walks = met.select(*start, F.col("up_volume").alias("parent_volume_id"), F.col("up_file").alias("parent_file_id"), F.concat("names", F.array("up_name")).alias("names"), F.concat("seen", F.array(subject)).alias("seen"), error.alias("error"), what.alias("error_subject"))
         walks = written(walks, "walks")
+    same = F.col("start_file").eqNullSafe(F.col("parent_file_id")) & F.col("start_volume").eqNullSafe(F.col("parent_volume_id"))
+    found = below.select("file_link_id", *PARENT, "name").join(done.select(*start, "names", "error", "error_subject"), same)
+    roots = links.where("parent_file_id is null").select("file_link_id", "name", F.array().cast("array<string>").alias("names"), none.alias("error"), none.alias("error_subject"))
+    walked = roots.unionAll(found.select(*roots.columns)).withColumn("names", F.concat(F.array("name"), "names"))
     good = F.col("error").isNull()
-    return done.select("file_link_id", F.when(good, T.display_path(F.reverse("names"))).alias("resolved_path"), F.when(good, F.size("names")).alias("depth"), "error", "error_subject")
+    return walked.select("file_link_id", F.when(good, T.display_path(F.reverse("names"))).alias("resolved_path"), F.when(good, F.size("names")).alias("depth"), "error", "error_subject")
 
 
 def affected_links(links: DataFrame, changed: DataFrame) -> DataFrame:
