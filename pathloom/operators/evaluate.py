@@ -6,21 +6,34 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import written
 
 
 def percentiles(samples: DataFrame, value: str, by: list[str], shares: tuple[int, ...] = (50, 95, 99), floor_index: bool = False) -> DataFrame:
     """(*by, samples, pNN..., maximum): nearest rank ceil(p * n / 100), or the value at index (n - 1) * p / 100 rounded down.
 
-    A window ranks the values of each group; only the asked ranks are kept. Nulls are no samples.
+    Equal values are counted first; the distinct ones are cut into ranges and written once, and their ranks are sums within a
+    range, shifted by the ranges before: neither a group nor a value with very many samples is one task's. Nulls are no samples;
+    a null group is one of its own.
     """
-    rows = samples.where(F.col(value).isNotNull())
-    ranked = rows.select(*by, value, F.row_number().over(Window.partitionBy(*by).orderBy(value)).alias("_r"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
+    counted = samples.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    ranged = written(counted.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = ranged.groupBy("_part").agg(F.sum("_n").alias("_sum"))  # a row for each range
+    before = parts.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    within = F.sum("_n").over(Window.partitionBy("_part").orderBy(*by, value))
+    placed = ranged.withColumn("_in", within).join(F.broadcast(before), "_part").withColumn("_upto", F.col("_before") + F.col("_in"))
+    groups = placed.groupBy(*(F.col(c).alias(f"_of_{c}") for c in by)).agg(F.sum("_n").alias("_samples"), F.min(F.col("_upto") - F.col("_n")).alias("_first"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    ranked = placed.join(groups, same).withColumn("_last", F.col("_upto") - F.col("_first"))
 
     def at(p: int) -> Column:
-        place = F.floor((F.col("_n") - 1) * p / 100) + 1 if floor_index else F.ceil(F.col("_n") * p / 100)
-        return F.max(F.when(F.col("_r") == F.greatest(place, F.lit(1)), F.col(value))).alias(f"p{p}")
+        place = F.floor((F.col("_samples") - 1) * p / 100) + 1 if floor_index else F.ceil(F.col("_samples") * p / 100)
+        place = F.greatest(place, F.lit(1))
+        return F.max(F.when((F.col("_last") - F.col("_n") < place) & (place <= F.col("_last")), F.col(value))).alias(f"p{p}")
 
-    return ranked.groupBy(*by).agg(F.max("_n").alias("samples"), *map(at, shares), F.max(value).alias("maximum"))
+    return ranked.groupBy(*by).agg(F.max("_samples").alias("samples"), *map(at, shares), F.max(value).alias("maximum"))
 
 
 def recall_precision(truth: DataFrame, returned: DataFrame, queries: DataFrame) -> DataFrame:

@@ -585,7 +585,15 @@ def governor_decisions(spark, sf_dir):
     return stateful.govern_batch(rows)
 
 
-@register("governor_budgets", "SELECT * FROM (VALUES " + ", ".join("('%s', %d, %d, %d, %d, %d, %d, '%s', %s)" % (k, *v[:7], str(v[7]).lower()) for k, v in governor.BUDGETS.items()) + ") t(mode, " + ", ".join(governor.BUDGET_FIELDS) + ")")
+# The budgets, written out beside governor.BUDGETS so that the comparison can fail.
+@register("governor_budgets", """SELECT * FROM (VALUES
+('active', 0, 0, 0, 33554432, 1000, 0, 'paused', true),
+('balanced', 5000, 20, 5000, 67108864, 5000, 1, 'normal', false),
+('idle_boost', 10000, 100, 30000, 134217728, 10000, 1, 'elevated', false),
+('pressure', 128, 0, 0, 33554432, 500, 0, 'paused', true),
+('battery', 256, 1, 250, 33554432, 1000, 1, 'minimal', false),
+('battery_saver', 0, 0, 0, 33554432, 1000, 0, 'paused', true)
+) t(mode, maximum_batch_mutations, maximum_batches, maximum_run_time_millis, writer_heap_bytes, rebuild_page_size, projection_concurrency, maintenance_intensity, background_paused)""")
 def governor_budgets(spark, sf_dir):
     rows = pd.DataFrame([{"mode": k, **dict(zip(governor.BUDGET_FIELDS, v, strict=True))} for k, v in governor.BUDGETS.items()])
     return spark.createDataFrame(rows, "mode string, maximum_batch_mutations int, maximum_batches int, maximum_run_time_millis int, writer_heap_bytes int, rebuild_page_size int, projection_concurrency int, maintenance_intensity string, background_paused boolean")

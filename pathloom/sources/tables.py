@@ -7,7 +7,7 @@ import hashlib
 import io
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import AlreadyExists, NotFound, SchemaMismatch
@@ -195,9 +195,13 @@ class Generations:
 
 
 def garbage(records: DataFrame, keep: int = 1) -> DataFrame:
-    """(generation): of (generation, state, updated_at) the failed ones, and the retired ones but for the `keep` newest."""
-    retired = records.where("state = 'retired'").withColumn("n", F.row_number().over(Window.orderBy(F.desc("updated_at"), F.desc("generation"))))
-    return retired.where(F.col("n") > keep).select("generation").unionAll(records.where("state = 'failed'").select("generation"))
+    """(generation): of (generation, state, updated_at) the failed ones, and the retired ones but for the `keep` newest.
+
+    A generation has one record; the newest are a top-k, so the retired ones are not sorted in one task.
+    """
+    retired = records.where("state = 'retired'")
+    newest = retired.orderBy(F.desc("updated_at"), F.desc("generation")).limit(keep).select("generation")
+    return retired.join(newest, "generation", "left_anti").select("generation").unionAll(records.where("state = 'failed'").select("generation"))
 
 
 #: A report row; dimensions is a map as JSON.

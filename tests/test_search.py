@@ -156,3 +156,18 @@ def test_percentiles(spark):
     near = {r.k: r for r in evaluate.percentiles(df, "v", ["k"]).collect()}
     assert (near["g"].p50, near["g"].p95, near["g"].p99, near["g"].maximum, near["g"].samples) == (5, 10, 10, 10, 10) and near["h"].p50 == 5
     assert evaluate.percentiles(df, "v", ["k"], floor_index=True).where("k = 'g'").first().p95 == 9
+
+
+def test_percentiles_of_hot_groups_and_values(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([3, 3, 3, None, rng.randrange(50)])) for _ in range(3000)] + [("one", 7), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(5)
+    for floor in (False, True):
+        got = {r.k: tuple(r)[1:] for r in evaluate.percentiles(df, "v", ["k"], floor_index=floor).collect()}
+        want = {}
+        for k in {k for k, v in rows if v is not None}:
+            vs = sorted(v for g, v in rows if g == k and v is not None)
+            at = lambda p: vs[(len(vs) - 1) * p // 100] if floor else vs[-(-len(vs) * p // 100) - 1]  # noqa: B023, E731
+            want[k] = (len(vs), at(50), at(95), at(99), vs[-1])
+        assert got == want
+    assert evaluate.percentiles(df.limit(0), "v", ["k"]).count() == 0
